@@ -1,4 +1,4 @@
-"""Registry of the core queries."""
+"""Registry of the core queries and their SQL twins."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from verbatrix.plans import timestamps
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": timestamps.p4_found}
 ORACLE: dict[str, str] = {}
 
 
