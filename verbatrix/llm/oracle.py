@@ -24,3 +24,15 @@ done AS (SELECT page_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FIL
 SELECT m.page_id, CASE WHEN m.full_text IS NULL THEN NULL WHEN done.page_id IS NULL THEN m.full_text ELSE done.full_text END AS full_text, coalesce(done.lines_removed, 0) AS lines_removed
 FROM main_texts m LEFT JOIN done USING (page_id)
 """
+
+
+def _forms(table: str, column: str, field: str) -> str:
+    from verbatrix.llm.one_form import form_sql
+
+    return f"SELECT '{field}' AS field, id, {column} AS raw, {form_sql(column)} AS look FROM {table} WHERE {column} IS NOT NULL"
+
+
+ORACLE["p3_found"] = f"""
+WITH forms AS ({_forms('evidence_items', 'excerpt', 'excerpt')} UNION ALL {_forms('voices', 'quote', 'quote')})
+SELECT DISTINCT a.field, a.id AS id_a, b.id AS id_b FROM forms a JOIN forms b ON a.field = b.field AND a.look = b.look AND a.raw <> b.raw AND a.id < b.id
+"""

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verbatrix.llm.one_form import look_alikes, with_forms
 from verbatrix.llm.repeated_lines import line_templates, repeated_lines, without_repeated_lines
 from verbatrix.sources.tables import table
 
@@ -35,3 +36,15 @@ def p1_templates(spark: SparkSession, folder: str) -> DataFrame:
 def p1_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "main_texts").select("page_id", "publication_id", "full_text")
     return without_repeated_lines(pages).select("page_id", "full_text", "lines_removed")
+
+
+@query
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    excerpts = with_forms(table(spark, folder, "evidence_items"), "excerpt").withColumn("field", F.lit("excerpt"))
+    quotes = with_forms(table(spark, folder, "voices"), "quote").withColumn("field", F.lit("quote"))
+    return look_alikes(excerpts.select("field", "id", "raw", "look").unionByName(quotes.select("field", "id", "raw", "look")), "field")
+
+
+@query
+def p3_forms(spark: SparkSession, folder: str) -> DataFrame:
+    return with_forms(table(spark, folder, "evidence_items"), "excerpt").select("id", "form")
