@@ -242,7 +242,7 @@ def utc_moments(df: DataFrame, value: str = "value", zone: str = "zone") -> Data
     times without a zone give no row; repeated rows stay; a column already called utc is replaced.
     """
     keep = [c for c in df.columns if c != "utc"]
-    schema = df.select(*keep).schema.add("__s", "bigint")
+    schema = df.select(*keep).schema.add("__s", "long")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
