@@ -36,3 +36,14 @@ ORACLE["p3_found"] = f"""
 WITH forms AS ({_forms('evidence_items', 'excerpt', 'excerpt')} UNION ALL {_forms('voices', 'quote', 'quote')})
 SELECT DISTINCT a.field, a.id AS id_a, b.id AS id_b FROM forms a JOIN forms b ON a.field = b.field AND a.look = b.look AND a.raw <> b.raw AND a.id < b.id
 """
+
+#: Windows of 12 words, as text, of a table's rows.
+_GRAMS = r"""
+SELECT {id} AS id, array_to_string(w[k : k + 11], ' ') AS g FROM (SELECT {id}, w, unnest(range(1, len(w) - 10)) AS k FROM (
+  SELECT {id}, regexp_extract_all(lower(replace(text, 'ß', 'ss')), '[\p{{L}}\p{{Nd}}]+') AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) >= 12)
+"""
+
+ORACLE["p9_found"] = f"""
+WITH items AS ({_GRAMS.format(id='item_id', table='eval_items')}), docs AS ({_GRAMS.format(id='doc_id', table='documents')})
+SELECT DISTINCT docs.id AS doc_id, items.id AS item_id FROM docs JOIN items USING (g)
+"""

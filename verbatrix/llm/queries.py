@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verbatrix.llm.leakage import leaked_spans, without_leaks
 from verbatrix.llm.one_form import look_alikes, with_forms
 from verbatrix.llm.repeated_lines import line_templates, repeated_lines, without_repeated_lines
 from verbatrix.sources.tables import table
@@ -48,3 +49,15 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p3_forms(spark: SparkSession, folder: str) -> DataFrame:
     return with_forms(table(spark, folder, "evidence_items"), "excerpt").select("id", "form")
+
+
+@query
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    spans = leaked_spans(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return spans.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
+
+
+@query
+def p9_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return without_leaks(docs, leaked_spans(docs, table(spark, folder, "eval_items")))
