@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from verbatrix.llm.leakage import leaked_spans, without_leaks
 from verbatrix.llm.one_form import look_alikes, with_forms
 from verbatrix.llm.repeated_lines import line_templates, repeated_lines, without_repeated_lines
+from verbatrix.llm.text_quality import text_statistics
 from verbatrix.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +62,14 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 def p9_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return without_leaks(docs, leaked_spans(docs, table(spark, folder, "eval_items")))
+
+
+@query
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    stats = text_statistics(table(spark, folder, "documents"))
+    return stats.filter(F.col("text_class") != "prose").select(F.col("id").alias("doc_id"), "text_class")
+
+
+@query
+def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return text_statistics(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
