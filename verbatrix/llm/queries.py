@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbatrix.llm.leakage import leaked_spans, without_leaks
+from verbatrix.llm.main_content import main_lines
 from verbatrix.llm.one_form import look_alikes, with_forms
 from verbatrix.llm.repeated_lines import line_templates, repeated_lines, without_repeated_lines
+from verbatrix.llm.residue_pages import page_texts, residue_texts
 from verbatrix.llm.text_quality import text_statistics
 from verbatrix.sources.tables import table
 
@@ -73,3 +75,21 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return text_statistics(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "main_texts").select("page_id", "full_text", "title", "main_text")
+    return main_lines(pages).withColumnRenamed("page", "page_id")
+
+
+@query
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    texts = page_texts(table(spark, folder, "fetch_results"), table(spark, folder, "main_texts"))
+    return residue_texts(texts).select(F.col("page").alias("page_id")).distinct()
+
+
+@query
+def p6_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    texts = page_texts(table(spark, folder, "fetch_results"), table(spark, folder, "main_texts"))
+    return residue_texts(texts).withColumnRenamed("page", "page_id").withColumn("kinds", F.array_join("kinds", ","))
