@@ -12,6 +12,7 @@ from verbatrix.llm.main_content import main_lines
 from verbatrix.llm.one_form import look_alikes, with_forms
 from verbatrix.llm.repeated_lines import line_templates, repeated_lines, without_repeated_lines
 from verbatrix.llm.residue_pages import page_texts, residue_texts
+from verbatrix.llm.sentences import sentences
 from verbatrix.llm.text_quality import text_statistics
 from verbatrix.sources.tables import table
 
@@ -93,3 +94,10 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 def p6_kinds(spark: SparkSession, folder: str) -> DataFrame:
     texts = page_texts(table(spark, folder, "fetch_results"), table(spark, folder, "main_texts"))
     return residue_texts(texts).withColumnRenamed("page", "page_id").withColumn("kinds", F.array_join("kinds", ","))
+
+
+@query
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    parts = [("statement", "statements", "id", "sentence"), ("main_text", "main_texts", "page_id", "main_text")]
+    found = [sentences(table(spark, folder, name), key, text).select(F.lit(field).alias("field"), F.col("id").alias("rec_id"), "start_char", "end_char") for field, name, key, text in parts]
+    return found[0].unionByName(found[1])
