@@ -43,3 +43,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="verbatrix-checkpoint-")
     sc.setCheckpointDir(folder)
     return folder
+
+
+def make_importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from the place the driver has it, whatever their working folder.
+
+    Workers on other machines need the package installed or shipped with addPyFile; this covers one machine or a shared path.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+    return spark
