@@ -12,6 +12,7 @@ from verbatrix.llm.main_content import main_lines
 from verbatrix.llm.one_form import look_alikes, with_forms
 from verbatrix.llm.repeated_lines import line_templates, repeated_lines, without_repeated_lines
 from verbatrix.llm.residue_pages import page_texts, residue_texts
+from verbatrix.llm.school_links import school_links
 from verbatrix.llm.sentences import sentences
 from verbatrix.llm.text_quality import text_statistics
 from verbatrix.sources.tables import table
@@ -101,3 +102,14 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     parts = [("statement", "statements", "id", "sentence"), ("main_text", "main_texts", "page_id", "main_text")]
     found = [sentences(table(spark, folder, name), key, text).select(F.lit(field).alias("field"), F.col("id").alias("rec_id"), "start_char", "end_char") for field, name, key, text in parts]
     return found[0].unionByName(found[1])
+
+
+@query
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    links = school_links(table(spark, folder, "institutions"), table(spark, folder, "publication_candidates"))
+    return links.filter(F.col("confidence") >= 0.5).select("unitid", "candidate_id")
+
+
+@query
+def p2_confidence(spark: SparkSession, folder: str) -> DataFrame:
+    return school_links(table(spark, folder, "institutions"), table(spark, folder, "publication_candidates"))
