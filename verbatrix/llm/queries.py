@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from verbatrix.llm.leakage import leaked_spans, without_leaks
 from verbatrix.llm.main_content import main_lines
 from verbatrix.llm.one_form import look_alikes, with_forms
+from verbatrix.llm.packing import fill, packed
 from verbatrix.llm.repeated_lines import line_templates, repeated_lines, without_repeated_lines
 from verbatrix.llm.residue_pages import page_texts, residue_texts
 from verbatrix.llm.school_links import school_links
@@ -113,3 +114,13 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p2_confidence(spark: SparkSession, folder: str) -> DataFrame:
     return school_links(table(spark, folder, "institutions"), table(spark, folder, "publication_candidates"))
+
+
+@query
+def p8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(table(spark, folder, "documents"), table(spark, folder, "container_sizes")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return fill(packed(table(spark, folder, "documents"), table(spark, folder, "container_sizes")))
