@@ -1,16 +1,11 @@
-"""Registry of the core queries and their SQL twins."""
+"""All core queries and their SQL twins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from verbatrix.plans import relational, texts, timestamps
+from verbatrix.plans.registry import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+QUERIES["p4_found"] = timestamps.p4_found
+FLAGSHIP = relational.cohort_metrics
 
-from verbatrix.plans import timestamps
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": timestamps.p4_found}
-ORACLE: dict[str, str] = {}
-
-
-def FLAGSHIP(spark: SparkSession, folder: str) -> DataFrame:
-    return next(iter(QUERIES.values()))(spark, folder)
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES", "texts"]
