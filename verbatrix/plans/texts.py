@@ -153,7 +153,7 @@ def emails_found(spark, d):
 @query("SELECT page_id, len(regexp_extract_all(coalesce(full_text, ''), '(?si)(.{0,60}(?:delete|take down).{0,60})', 1)[1:4]) AS n, array_to_string(regexp_extract_all(coalesce(full_text, ''), '(?si)(.{0,60}(?:delete|take down).{0,60})', 1)[1:4], '¦') AS excerpts FROM main_texts")
 def excerpt_windows(spark, d):
     found = X.windows_around(F.col("full_text"), "delete|take down", 60)
-    return table(spark, d, "main_texts").select("page_id", F.size(found).alias("n"), F.array_join(found, "¦").alias("excerpts"))
+    return table(spark, d, "main_texts").select("page_id", F.size(found).cast("bigint").alias("n"), F.array_join(found, "¦").alias("excerpts"))
 
 
 @query("WITH o AS (SELECT page_id, list_filter(string_split(coalesce(full_text, ''), chr(10)), lambda x: length(x) >= 40) AS ls, coalesce(main_text, '') AS m FROM main_texts) SELECT page_id, round(coalesce(CAST(len(list_filter(ls, lambda x: contains(m, x))) AS DOUBLE) / nullif(len(ls), 0), 1.0), 3) AS held FROM o")
@@ -184,7 +184,7 @@ def attributed_quotes(spark, d):
 @query("SELECT doc_id, len(list_filter(string_split(x, ' '), lambda w: w <> '')) AS words, round(CAST(len(list_filter(string_split(x, ' '), lambda w: list_contains(['the', 'of', 'and', 'to', 'in', 'a', 'for', 'on', 'that', 'was'], w))) AS DOUBLE) / nullif(len(list_filter(string_split(x, ' '), lambda w: w <> '')), 0), 6) AS share FROM (SELECT doc_id, " + _hash_form("text") + " AS x FROM documents) WHERE x <> ''")
 def function_word_share(spark, d):
     listed = ["the", "of", "and", "to", "in", "a", "for", "on", "that", "was"]
-    rows = table(spark, d, "documents").select("doc_id", "text", F.size(F.filter(F.split(X.hash_form(F.col("text")), " "), lambda w: w != "")).alias("words"))
+    rows = table(spark, d, "documents").select("doc_id", "text", F.size(F.filter(F.split(X.hash_form(F.col("text")), " "), lambda w: w != "")).cast("bigint").alias("words"))
     return rows.filter("words > 0").select("doc_id", "words", F.round(X.function_word_share(F.col("text"), listed), 6).alias("share"))
 
 
