@@ -162,12 +162,12 @@ def without_leaks(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", tex
 
     The spans of one document are few, so they travel as one array to its row; overlapping spans count once.
     """
-    cut = spans.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("start_char", "end_char"))).alias("__spans"), F.count_distinct("item").alias("leaked_items")).withColumnRenamed("doc", "__doc")
-    joined = docs.join(cut, docs[doc_id] == cut["__doc"], "left")
+    cut = spans.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("start_char", "end_char"))).alias("__leaked_spans"), F.count_distinct("item").alias("leaked_items")).withColumnRenamed("doc", "__leaked_doc")
+    joined = docs.drop("leaked_items").join(cut, F.col(doc_id) == F.col("__leaked_doc"), "left")
     t = F.col(text)
     state = F.struct(F.lit("").alias("kept"), F.lit(0).alias("at"))
     step = F.aggregate(
-        "__spans",
+        "__leaked_spans",
         state,
         lambda acc, s: F.struct(
             F.concat(acc["kept"], t.substr(acc["at"] + 1, F.greatest(s["start_char"] - acc["at"], F.lit(0)))).alias("kept"),
@@ -175,4 +175,4 @@ def without_leaks(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", tex
         ),
         lambda acc: F.concat(acc["kept"], t.substr(acc["at"] + 1, F.length(t))),
     )
-    return joined.withColumn(text, F.when(F.col("__spans").isNull(), t).otherwise(step)).withColumn("leaked_items", F.coalesce("leaked_items", F.lit(0))).drop("__spans", "__doc")
+    return joined.withColumn(text, F.when(F.col("__leaked_spans").isNull(), t).otherwise(step)).withColumn("leaked_items", F.coalesce("leaked_items", F.lit(0))).drop("__leaked_spans", "__leaked_doc")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,8 +112,6 @@ def main_lines(pages: DataFrame, page_col: str = "page_id", text_col: str = "ful
 
 def with_main_content(pages: DataFrame, text_col: str = "full_text", title_col: str = "title", main_col: str = "main_text", out_col: str = "own_text") -> DataFrame:
     """pages with a column of the page's own text (null for a null text, empty if nothing is the page's own)."""
-    import pandas as pd
-
     def cut(texts: pd.Series, titles: pd.Series, mains: pd.Series) -> pd.Series:
         def one(text: str | None, title: str | None, main: str | None) -> str | None:
             if text is None:

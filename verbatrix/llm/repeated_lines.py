@@ -124,8 +124,10 @@ def without_repeated_lines(pages: DataFrame, page_col: str = "page_id", site_col
     A null text stays null with 0 removed; a text of which every line goes becomes empty.
     """
     found = repeated_lines(pages, page_col, site_col, text_col, min_pages, depth)
-    gone = found.groupBy("page").agg(F.collect_set("line_no").alias("__gone")).withColumnRenamed("page", "__page")
-    joined = pages.join(gone, pages[page_col] == gone["__page"], "left")
+    # names of its own, so that no column of pages clashes; a `lines_removed` of an earlier run is replaced
+    hidden, key = "__repeated_line_numbers", "__repeated_line_page"
+    gone = found.groupBy("page").agg(F.collect_set("line_no").alias(hidden)).withColumnRenamed("page", key)
+    joined = pages.drop("lines_removed").join(gone, F.col(page_col) == F.col(key), "left")
     none = F.array().cast("array<int>")
-    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.coalesce(F.col("__gone"), none), i + 1))
-    return joined.withColumn(text_col, F.array_join(kept, "\n")).withColumn("lines_removed", F.coalesce(F.size("__gone"), F.lit(0))).drop("__gone", "__page")
+    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.coalesce(F.col(hidden), none), i + 1))
+    return joined.withColumn(text_col, F.array_join(kept, "\n")).withColumn("lines_removed", F.coalesce(F.size(hidden), F.lit(0))).drop(hidden, key)

@@ -33,7 +33,7 @@ from verbatrix.operators.sizing import join_measured, materialise
 FOR = {"name": 6.0, "near": 4.0, "host": 8.0, "label": 6.0, "place": 1.0}
 AGAINST = {"prior": 1.0, "unknown": 0.3, "sort": 14.0, "kind": 8.0, "place": 2.0}
 #: Weight of the agreement of a mention with its host, penalty of the alternating directions, rounds, stopping residual.
-AGREE, RHO, ROUNDS, RESIDUAL = 1.0, 1.0, 12, 0.01
+AGREE, RHO, ROUNDS, RESIDUAL = 1.0, 4.0, 8, 0.02
 PLACE = re.compile(r"(?:\bin|\bfrom) (?P<a>[^,(.]+?),? \(?(?P<b>[A-Z]{2})\)?[.,]|^(?P<c>.+?) (?P<d>[A-Z]{2}) campus")
 
 
@@ -214,7 +214,8 @@ def school_links(institutions: DataFrame, candidates: DataFrame, rounds: int = R
         means = tied.groupBy("host").agg(F.avg(F.when(spoke, F.least(F.greatest(F.col("x") + F.col("dual"), F.lit(0.0)), F.lit(1.0)))).alias("new_y"))
         means = materialise(means)
         gap = tied.join(F.broadcast(means) if means.count() < 200_000 else means, "host")
-        tied_next = gap.withColumn("moved", F.abs(F.col("new_y") - F.col("y"))).withColumn("y", F.coalesce("new_y", "y"))
+        # both residuals: how far the hosts' values moved, and how far the copies stand from them
+        tied_next = gap.withColumn("moved", F.greatest(F.abs(F.col("new_y") - F.col("y")), F.abs(F.col("x") - F.col("new_y")))).withColumn("y", F.coalesce("new_y", "y"))
         moved = tied_next.agg(F.max("moved")).first()[0]
         tied = tied_next.drop("moved", "new_y")
         if moved is None or moved < RESIDUAL:
