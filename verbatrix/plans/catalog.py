@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from verbatrix.plans import relational, streams, texts, timestamps
+from verbatrix.plans import relational, streams, texts, timestamps, versions
 from verbatrix.plans.registry import ORACLE, QUERIES
 
 QUERIES["p4_found"] = timestamps.p4_found
 FLAGSHIP = relational.cohort_metrics
 
-__all__ = ["FLAGSHIP", "ORACLE", "QUERIES", "streams", "texts"]
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES", "streams", "texts", "versions"]
