@@ -32,3 +32,13 @@ def join_measured(left: DataFrame, right: DataFrame, on: list[str], how: str = "
     right = materialise(right)
     small = right.count() * row_width(right) <= limit
     return left.join(F.broadcast(right) if small else right, on, how)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan dealt out to all cores if it has fewer partitions than there are cores; else as it is.
+
+    For passes that spend far more time on a row than a shuffle would: one small file is one task otherwise. At size a scan
+    has more partitions than cores and nothing is moved. Only for plain scans: what is known of their partitions is free.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

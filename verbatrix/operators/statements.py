@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verbatrix.functions.text import near_duplicate_key, tags_of
+from verbatrix.operators.sizing import materialise
 
 #: A gap behind a sentence mark and before a capital or figure: an expression-only split (the llm package has the full one).
 GAP = r"(?<=[.!?][\"'”’)]{0,2})\s+(?=[\"'“‘(]?[A-Z0-9])"
@@ -36,6 +37,7 @@ def near_dup_groups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     One shuffle on the key carries ids and lengths only. Null texts belong to no group.
     """
     keyed = df.filter(F.col(text_col).isNotNull()).select(id_col, near_duplicate_key(F.col(text_col)).alias("key"), F.length(text_col).alias("__n"))
+    keyed = materialise(keyed)  # read twice; the keys are dear, the rows short
     best = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.max_by(id_col, F.struct("__n", -F.col(id_col))).alias("canonical")).filter("copies > 1")
     return keyed.join(best, "key").select(id_col, "key", "canonical", "copies")
 

@@ -10,6 +10,7 @@ from verbatrix.functions.stats import cohens_kappa, ratio
 from verbatrix.operators import audit, html, redaction, similarity
 from verbatrix.operators import relational as R
 from verbatrix.operators import statements as S
+from verbatrix.operators.sizing import spread
 from verbatrix.plans.registry import query
 from verbatrix.sources.tables import table
 
@@ -37,12 +38,12 @@ def normalized_text_hash(spark, d):
 @query(f"""WITH k AS ({_near_keys('doc_id, length(text) AS n', 'documents', 'text')}), b AS (SELECT key, count(*) AS copies, arg_max(doc_id, (n, -doc_id)) AS canonical FROM k GROUP BY 1 HAVING count(*) > 1)
 SELECT doc_id, key, canonical, copies FROM k JOIN b USING (key)""")
 def near_dup_groups(spark, d):
-    return S.near_dup_groups(table(spark, d, "documents"), "doc_id", "text")
+    return S.near_dup_groups(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 @query(f"SELECT source, count(*) AS docs, count(DISTINCT key) AS distinct_keys, round(1 - CAST(count(DISTINCT key) AS DOUBLE) / count(*), 4) AS duplicate_rate FROM ({_near_keys('source', 'documents', 'text')}) GROUP BY 1")
 def near_dup_rate_by_source(spark, d):
-    rows = table(spark, d, "documents").filter("text IS NOT NULL").select("source", X.near_duplicate_key(F.col("text")).alias("key"))
+    rows = spread(table(spark, d, "documents").filter("text IS NOT NULL").select("source", "text")).select("source", X.near_duplicate_key(F.col("text")).alias("key"))
     n, k = F.count(F.lit(1)), F.count_distinct("key")
     return rows.groupBy("source").agg(n.alias("docs"), k.alias("distinct_keys"), F.round(1 - k / n, 4).alias("duplicate_rate"))
 
@@ -141,7 +142,7 @@ def html_title_native(spark, d):
 
 @query()
 def html_parts(spark, d):
-    rows = html.with_page_parts(table(spark, d, "fetch_results").select("page_id", "content"), "content")
+    rows = html.with_page_parts(spread(table(spark, d, "fetch_results").select("page_id", "content")), "content")
     return rows.select("page_id", "page.title", "page.robots", F.size("page.links").alias("links"), F.length("page.text").alias("text_length"))
 
 
