@@ -16,11 +16,17 @@ from verbatrix.llm.residue_pages import page_texts, residue_texts
 from verbatrix.llm.school_links import school_links
 from verbatrix.llm.sentences import sentences
 from verbatrix.llm.text_quality import text_statistics
+from verbatrix.operators.sizing import spread
 from verbatrix.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+def texts(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """The columns of a table that a dear pass over its texts needs, on all cores."""
+    return spread(table(spark, folder, name).select(*columns))
+
+
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[fn.__name__] = fn
     return fn
@@ -29,79 +35,79 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 @query
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """publications.domain is unique by publication, so publication_id stands for the domain and no join is needed."""
-    pages = table(spark, folder, "main_texts").select("page_id", "publication_id", "full_text")
+    pages = texts(spark, folder, "main_texts", "page_id", "publication_id", "full_text")
     return repeated_lines(pages).select(F.col("page").alias("page_id"), "line_no")
 
 
 @query
 def p1_templates(spark: SparkSession, folder: str) -> DataFrame:
-    pages = table(spark, folder, "main_texts").select("page_id", "publication_id", "full_text")
+    pages = texts(spark, folder, "main_texts", "page_id", "publication_id", "full_text")
     return line_templates(pages).select(F.col("site").alias("publication_id"), "template", "pages")
 
 
 @query
 def p1_cleaned(spark: SparkSession, folder: str) -> DataFrame:
-    pages = table(spark, folder, "main_texts").select("page_id", "publication_id", "full_text")
+    pages = texts(spark, folder, "main_texts", "page_id", "publication_id", "full_text")
     return without_repeated_lines(pages).select("page_id", "full_text", "lines_removed")
 
 
 @query
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    excerpts = with_forms(table(spark, folder, "evidence_items"), "excerpt").withColumn("field", F.lit("excerpt"))
-    quotes = with_forms(table(spark, folder, "voices"), "quote").withColumn("field", F.lit("quote"))
+    excerpts = with_forms(texts(spark, folder, "evidence_items", "id", "excerpt"), "excerpt").withColumn("field", F.lit("excerpt"))
+    quotes = with_forms(texts(spark, folder, "voices", "id", "quote"), "quote").withColumn("field", F.lit("quote"))
     return look_alikes(excerpts.select("field", "id", "raw", "look").unionByName(quotes.select("field", "id", "raw", "look")), "field")
 
 
 @query
 def p3_forms(spark: SparkSession, folder: str) -> DataFrame:
-    return with_forms(table(spark, folder, "evidence_items"), "excerpt").select("id", "form")
+    return with_forms(texts(spark, folder, "evidence_items", "id", "excerpt"), "excerpt").select("id", "form")
 
 
 @query
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    spans = leaked_spans(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    spans = leaked_spans(texts(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items"))
     return spans.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
 
 
 @query
 def p9_cleaned(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = texts(spark, folder, "documents", "doc_id", "text")
     return without_leaks(docs, leaked_spans(docs, table(spark, folder, "eval_items")))
 
 
 @query
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    stats = text_statistics(table(spark, folder, "documents"))
+    stats = text_statistics(texts(spark, folder, "documents", "doc_id", "text"))
     return stats.filter(F.col("text_class") != "prose").select(F.col("id").alias("doc_id"), "text_class")
 
 
 @query
 def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    return text_statistics(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+    return text_statistics(texts(spark, folder, "documents", "doc_id", "text")).withColumnRenamed("id", "doc_id")
 
 
 @query
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    pages = table(spark, folder, "main_texts").select("page_id", "full_text", "title", "main_text")
+    pages = texts(spark, folder, "main_texts", "page_id", "full_text", "title", "main_text")
     return main_lines(pages).withColumnRenamed("page", "page_id")
 
 
 @query
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    texts = page_texts(table(spark, folder, "fetch_results"), table(spark, folder, "main_texts"))
-    return residue_texts(texts).select(F.col("page").alias("page_id")).distinct()
+    pages = page_texts(texts(spark, folder, "fetch_results", "page_id", "final_url", "requested_url", "content"), texts(spark, folder, "main_texts", "page_id", "url", "main_text"))
+    return residue_texts(pages).select(F.col("page").alias("page_id")).distinct()
 
 
 @query
 def p6_kinds(spark: SparkSession, folder: str) -> DataFrame:
-    texts = page_texts(table(spark, folder, "fetch_results"), table(spark, folder, "main_texts"))
-    return residue_texts(texts).withColumnRenamed("page", "page_id").withColumn("kinds", F.array_join("kinds", ","))
+    pages = page_texts(texts(spark, folder, "fetch_results", "page_id", "final_url", "requested_url", "content"), texts(spark, folder, "main_texts", "page_id", "url", "main_text"))
+    return residue_texts(pages).withColumnRenamed("page", "page_id").withColumn("kinds", F.array_join("kinds", ","))
 
 
 @query
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     parts = [("statement", "statements", "id", "sentence"), ("main_text", "main_texts", "page_id", "main_text")]
-    found = [sentences(table(spark, folder, name), key, text).select(F.lit(field).alias("field"), F.col("id").alias("rec_id"), "start_char", "end_char") for field, name, key, text in parts]
+    found = [sentences(texts(spark, folder, name, key, text), key, text).select(F.lit(field).alias("field"), F.col("id").alias("rec_id"), "start_char", "end_char") for field, name, key, text in parts]
     return found[0].unionByName(found[1])
 
 
@@ -118,9 +124,9 @@ def p2_confidence(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def p8_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packed(table(spark, folder, "documents"), table(spark, folder, "container_sizes")).withColumnRenamed("id", "doc_id")
+    return packed(texts(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "container_sizes")).withColumnRenamed("id", "doc_id")
 
 
 @query
 def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
-    return fill(packed(table(spark, folder, "documents"), table(spark, folder, "container_sizes")))
+    return fill(packed(texts(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "container_sizes")))
