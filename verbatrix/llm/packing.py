@@ -1,8 +1,8 @@
 """Problem 8: documents into containers of fixed capacity, measured in tokens of a public tokenizer.
 
-Sizes are counted and packed where the texts are read: a task packs blocks of at most `block` documents, so nothing is
-shuffled, no group of documents can outgrow a task, and what packing across blocks could save is less than a container a
-block. Within a block, documents above a third of the capacity are matched first, two to a container at most: the
+Sizes are counted where the texts are read; only ids and sizes go on, dealt out evenly into blocks of about `block`
+documents whatever their ids, so no group of documents can outgrow a task, and what packing across blocks could save is
+less than a container or two a block. Within a block, documents above a third of the capacity are matched first, two to a container at most: the
 largest takes the largest other one that still fits. The smaller ones, largest first, go each into the fullest container
 that has room. Only a document larger than a container is cut, into full containers and a rest that is packed on.
 """
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verbatrix.llm.arrow import map_batches
+from verbatrix.operators.sizing import materialise
 
 #: Folder of the public vocabularies and the file used; both are parameters of token_counts and packed.
 TOKENIZERS = os.environ.get("VERBATRIX_TOKENIZERS", "/opt/tokenizers")
@@ -103,40 +104,43 @@ def pack(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
     return bins
 
 
-def _pack(containers: list[tuple[str, int]], folder: str, vocabulary: str, block: int):
+def _sizes(folder: str, vocabulary: str):
+    def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        encode = encoding(folder, vocabulary).encode_ordinary
+        for b in batches:
+            yield {"id": b["id"], "tokens": [len(encode(t)) if t else 0 for t in b["text"]]}
+
+    return run
+
+
+def _pack(containers: list[tuple[str, int]]):
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         context = TaskContext.get()
         task = context.partitionId() if context else 0
-        count = 0
         ids: list = []
         sizes: list[int] = []
-
-        def packed() -> dict[str, list]:
-            nonlocal count
-            out: dict[str, list] = {k: [] for k in ("container", "capacity", "bin", "id", "first_token", "tokens")}
-            for name, capacity in containers:
-                for content in pack(sizes, capacity):
-                    for item, first, size in content:
-                        for key, value in zip(out, (name, capacity, (task << 40) | count, ids[item], first, size)):
-                            out[key].append(value)
-                    count += 1
-            ids.clear()
-            sizes.clear()
-            return out
-
-        encode = encoding(folder, vocabulary).encode_ordinary
         for b in batches:
-            for key, text in zip(b["id"], b["text"]):
-                ids.append(key)
-                sizes.append(len(encode(text)) if text else 0)
-                if len(ids) >= block:
-                    yield packed()
-        if ids:
-            yield packed()
+            ids.extend(b["id"])
+            sizes.extend(b["tokens"])
+        count = 0
+        for name, capacity in containers:
+            out: dict[str, list] = {k: [] for k in ("container", "capacity", "bin", "id", "first_token", "tokens")}
+            for content in pack(sizes, capacity):
+                for item, first, size in content:
+                    for key, value in zip(out, (name, capacity, (task << 40) | count, ids[item], first, size)):
+                        out[key].append(value)
+                count += 1
+            yield out
 
     return run
 
 
+def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(id, tokens) of every row; null and empty texts have 0."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return map_batches(rows, _sizes(folder, vocabulary), f"id {rows.schema['id'].dataType.simpleString()}, tokens bigint")
+
+
 def packed(docs: DataFrame, containers: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, block: int = BLOCK) -> DataFrame:
     """(container, capacity, bin, id, first_token, tokens): every document's place in the containers of every size.
 
@@ -145,9 +149,10 @@ def packed(docs: DataFrame, containers: DataFrame, id_col: str = "doc_id", text_
     larger than the capacity has one row a piece, of which all but the last fill a container.
     """
     sizes = [(r[0], r[1]) for r in containers.select("container", "capacity_tokens").filter(F.col("capacity_tokens") >= 1).distinct().orderBy("container", "capacity_tokens").collect()]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return map_batches(rows, _pack(sizes, folder, vocabulary, block), f"container string, capacity bigint, bin bigint, id {kind}, first_token bigint, tokens bigint")
+    counts = materialise(token_counts(docs, id_col, text_col, folder, vocabulary))
+    kind = counts.schema["id"].dataType.simpleString()
+    blocks = counts.repartition(max(1, -(-counts.count() // block)))
+    return map_batches(blocks, _pack(sizes), f"container string, capacity bigint, bin bigint, id {kind}, first_token bigint, tokens bigint")
 
 
 def fill(packing: DataFrame) -> DataFrame:
