@@ -35,7 +35,7 @@ def compare_versions(df: DataFrame, old: str, new: str, status: str | None = Non
         gone = gone | F.coalesce(F.col(status).isin(404, 410), F.lit(False))
     there = F.length(F.trim(F.coalesce(F.col(old), F.lit("")))) > 0
     lost = F.filter(person_names(F.col(old)), lambda n: ~F.contains(F.coalesce(F.col(new), F.lit("")), n))
-    ratio = matching_ratio(400)(F.coalesce(F.col(old), F.lit("")), F.coalesce(F.col(new), F.lit("")))
+    ratio = matching_ratio()(F.coalesce(F.col(old), F.lit("")), F.coalesce(F.col(new), F.lit("")))
     seen = df.withColumns({"names_lost": F.size(lost), "overlap": vocabulary_overlap(words(F.col(old)), words(F.col(new))), "ratio": ratio})
     kept = there & ~gone
     return seen.withColumn(

@@ -173,8 +173,8 @@ def vocab_overlap(spark, d):
 @query()
 def version_ratio(spark, d):
     """Matching ratio of a page's extracted and full text: how much of it the extraction kept."""
-    rows = table(spark, d, "main_texts").select("page_id", "main_text", "full_text")
-    return rows.withColumn("ratio", similarity.matching_ratio(400)(F.col("main_text"), F.col("full_text"))).select("page_id", "ratio")
+    rows = spread(table(spark, d, "main_texts").select("page_id", "main_text", "full_text"))
+    return rows.withColumn("ratio", similarity.matching_ratio()(F.col("main_text"), F.col("full_text"))).select("page_id", "ratio")
 
 
 @query("SELECT DISTINCT doc_id, q[1] AS quote, q[2] AS speaker FROM (SELECT doc_id, unnest(list_zip(regexp_extract_all(coalesce(text, ''), '[\"“]([^\"“”]{20,700})[\"”],? ?(said|asked|told|added|explained) ([A-ZÀ-Þ][^ ,.]+ (?:[A-Z]\\. )?[A-ZÀ-Þ][^ ,.]+)', 1), regexp_extract_all(coalesce(text, ''), '[\"“]([^\"“”]{20,700})[\"”],? ?(said|asked|told|added|explained) ([A-ZÀ-Þ][^ ,.]+ (?:[A-Z]\\. )?[A-ZÀ-Þ][^ ,.]+)', 3))) AS q FROM documents)")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from verbatrix.functions.urls import path_year
 from verbatrix.operators import versions as V
 from verbatrix.operators.relational import latest
+from verbatrix.operators.sizing import spread
 from verbatrix.plans.registry import query
 from verbatrix.sources.tables import table
 
@@ -42,7 +43,7 @@ def best_excerpts(spark, d):
 
 @query()
 def version_observations(spark, d):
-    rows = V.compare_versions(table(spark, d, "main_texts").select("page_id", "full_text", "main_text"), "full_text", "main_text")
+    rows = V.compare_versions(spread(table(spark, d, "main_texts").select("page_id", "full_text", "main_text")), "full_text", "main_text")
     return rows.select("page_id", "names_lost", "overlap", F.array_join("observations", ",").alias("observations"))
 
 
