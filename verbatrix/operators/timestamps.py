@@ -1,8 +1,8 @@
 """Mixed timestamp forms and time zones to one UTC form.
 
 A value is reduced to the mask of its character classes (digits 9, letters a, runs of letters one a, white space one
-blank). Each distinct mask is resolved to a parser once; all values of a mask are then taken apart and converted
-together in numpy. Local times go through transition tables, built once per zone from the installed IANA release and
+blank). Each distinct mask is resolved to its parsers over all its values, so that a value's moment depends on the value
+alone; the values of a parser are then taken apart and converted together in numpy. Local times go through transition tables, built once per zone from the installed IANA release and
 stamped with its version: one searchsorted per zone and batch.
 
 Rules: a local time that occurs twice is the earlier, one that is skipped moves on by the gap, fractions are cut off,
@@ -50,7 +50,7 @@ _HALF = r"(?: ?(?P<half>[AaPp]\.?[Mm]\.?))?"
 _ZONE = r"(?: ?(?P<zone>(?:UTC|GMT)?[+\-−]\d\d?:?(?:\d\d)?|[A-Za-z]{1,5}))?(?:\[(?P<named>[A-Za-z]+(?:/[A-Za-z_+\-0-9]+)+)\])?"
 _WORD = r"[^\W\d_]+"
 _DAY = rf"(?:{_WORD}\.?,? )?"
-#: Parsers in the order they are tried on the first value of a new mask.
+#: Parsers in the order they are tried on the values of a mask.
 PARSERS = [
     re.compile(x)
     for x in (
@@ -142,12 +142,15 @@ def shape_mask(value: str) -> str:
     return _RUNS.sub(lambda m: m[0][0], value.translate(_CLASSES).strip())
 
 
-def _parser(values: pd.Series) -> re.Pattern | None:
-    """The first parser that takes one of a mask's values; words may differ below a mask, so a few values are tried."""
+def _readings(values: pd.Series) -> Iterator[tuple[re.Pattern, pd.Series]]:
+    """Parsers with the values of one mask that each reads: words may differ below a mask, so every value has the first parser that takes it."""
     for p in PARSERS:
-        if any(p.fullmatch(v) for v in values.iloc[:5]):
-            return p
-    return None
+        taken = np.fromiter((p.fullmatch(v) is not None for v in values), bool, len(values))
+        if taken.any():
+            yield p, values[taken]
+            values = values[~taken]
+        if values.empty:
+            return
 
 
 def _days(y: np.ndarray, m: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -183,9 +186,7 @@ def parse_moments(values: pd.Series, zones: pd.Series) -> pd.Series:
     out = pd.Series(pd.NA, index=values.index, dtype="Int64")
     clean = values.dropna().str.split().str.join(" ")
     masks = clean.map(shape_mask)
-    for _, group in clean.groupby(masks, sort=False):
-        if (p := _parser(group)) is None:
-            continue
+    for p, group in (x for _, same in clean.groupby(masks, sort=False) for x in _readings(same)):
         parts = group.str.extract(f"^{p.pattern}$")
         parts = parts[parts.notna().any(axis=1)]
         if parts.empty:
