@@ -2,7 +2,8 @@
 
 Blocks are the lines of the text. The first pass looks at a block alone: stop-word density, length and link density
 (shares of link rows, addresses and cue wording) call it good, bad or short. In the second pass the short ones inherit
-from their nearest decided neighbours, within the span that the headline opens. A page whose text is residue of a layout
+from their nearest decided neighbours, within the span that the headline opens. Pages that problem 6 names are vetoed by
+the query. A page whose text is residue of a layout
 or an error page instead of a story has no lines of its own.
 """
 
@@ -17,9 +18,11 @@ from pyspark.sql import functions as F
 from verbatrix.llm.arrow import map_batches
 from verbatrix.llm.page_lines import WORD, cues, dense_letters, is_wording, plain
 
-GOOD, BAD, SHORT, HEAD = "good", "bad", "short", "head"
+GOOD, BAD, SHORT, HEAD, MENU = "good", "bad", "short", "head", "menu"
 #: Short blocks of at most so many words are menu entries unless they stand in a list of longer ones.
 MENU_WORDS = 2
+#: Menus and footers are sections of more bad blocks than so many in a row.
+INSERT = 2
 
 
 def _is_headline(line: str, title: str) -> bool:
@@ -41,7 +44,7 @@ def first_pass(line: str, title: str) -> str:
     if is_wording(line):
         return GOOD
     if not dense_letters(line) and len(WORD.findall(line)) <= MENU_WORDS:
-        return BAD
+        return MENU
     return SHORT
 
 
@@ -57,6 +60,50 @@ def is_residue(lines: list[str]) -> bool:
     return found
 
 
+def _size(line: str) -> int:
+    """Words of a line; two letters of a script without spaces count as one."""
+    return max(len(WORD.findall(line)), dense_letters(line) // 2)
+
+
+def _list_entries(at: list[int], lines: list[str], label: dict[int, str]) -> list[int]:
+    """Menu-sized lines that stand between longer short ones: entries of one list."""
+    longer = {i for i in at if label[i] == SHORT and _size(lines[i]) > MENU_WORDS}
+    return [i for h, i, j in zip(at, at[1:], at[2:]) if label[i] == MENU and h in longer and j in longer]
+
+
+def second_pass(at: list[int], label: dict[int, str]) -> dict[int, str]:
+    """Labels of blocks with each run of short ones decided by its nearest decided neighbours.
+
+    Up to INSERT bad blocks among others are inserts (share links, adverts) and decide nothing. Of differing neighbours
+    the nearer one counts, by blank lines between; of equally near ones the good one, as subheads open and lists and
+    notes go on with a story.
+    """
+    kept, k = [], 0
+    while k < len(at):
+        end = k
+        while end < len(at) and label[at[end]] == BAD:
+            end += 1
+        if end - k > INSERT or end == len(at):
+            kept += at[k:end]
+        kept += at[end : end + 1]
+        k = end + 1
+    place = {i: n for n, i in enumerate(at)}
+    blanks = lambda i, j: j - i - (place[j] - place[i])
+    out, k = dict(label), 0
+    while k < len(kept):
+        end = k
+        while end < len(kept) and label[kept[end]] == SHORT:
+            end += 1
+        if end > k:
+            before, behind = kept[k - 1] if k else None, kept[end] if end < len(kept) else None
+            near = {x: blanks(*sorted((x, y))) for x, y in ((before, kept[k]), (behind, kept[end - 1])) if x is not None}
+            own = any(label[x] in (GOOD, HEAD) for x in near if near[x] == min(near.values()))
+            for i in kept[k:end]:
+                out[i] = GOOD if own else BAD
+        k = end + 1
+    return out
+
+
 def own_lines(text: str, title: str | None = None, main_text: str | None = None) -> list[int]:
     """Numbers, from 1, of the lines of text that are the page's own."""
     lines = [plain(x) for x in text.split("\n")]
@@ -65,28 +112,20 @@ def own_lines(text: str, title: str | None = None, main_text: str | None = None)
         return []
     wanted = plain(title or "").casefold()
     label = {i: first_pass(lines[i], wanted) for i in at}
+    entries = _list_entries(at, lines, label)
+    label |= {i: BAD for i in at if label[i] == MENU} | {i: SHORT for i in entries}
     good = [i for i in at if label[i] == GOOD]
     heads = [i for i in at if label[i] == HEAD and (not good or i < good[-1])] or [i for i in at if label[i] == HEAD]
     if heads:
         start = heads[0]
     elif good:
-        before = [i for i in at if i < good[0] and label[i] == SHORT and (len(WORD.findall(lines[i])) >= 4 or dense_letters(lines[i]) >= 6)]
+        before = [i for i in at if i < good[0] and label[i] == SHORT and _size(lines[i]) >= 4]
         start = before[-1] if before else good[0]
+        label[start] = HEAD if label[start] == SHORT else label[start]
     else:
         return []
-    last = max([start, *good])
-    own = []
-    for k, i in enumerate(at):
-        if i < start:
-            continue
-        if label[i] in (GOOD, HEAD):
-            own.append(i + 1)
-        elif label[i] == SHORT:
-            # between two blocks of the story it belongs to it; behind the last one it goes on with a list or note
-            ahead = next((label[j] for j in at[k + 1 :] if label[j] in (GOOD, BAD)), BAD)
-            if i < last or ahead == GOOD or (own and len(WORD.findall(lines[i])) > MENU_WORDS):
-                own.append(i + 1)
-    return own
+    final = second_pass([i for i in at if i >= start], label)
+    return [i + 1 for i in at if i >= start and final[i] in (GOOD, HEAD)]
 
 
 def _scan(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:

@@ -8,9 +8,10 @@ over all pages; lines that recur there are boilerplate and are subtracted. A tex
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verbatrix.llm.arrow import map_batches
@@ -54,12 +55,20 @@ def _lines(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         yield out
 
 
+def _host(url: Column) -> Column:
+    return F.regexp_extract(F.lower(url), r"^(?:[a-z]+://)?(?:www\.)?([^/:?#]+)", 1)
+
+
+def extracted_texts(pages: DataFrame, *fields: str) -> DataFrame:
+    """(page, field, host, text) of extracted texts of pages; no nulls, no blanks."""
+    each = [pages.select(F.col("page_id").alias("page"), F.lit(x).alias("field"), F.coalesce(_host(F.col("url")), F.lit("")).alias("host"), F.col(x).alias("text")) for x in fields]
+    return reduce(DataFrame.unionByName, each).filter(F.length(F.trim("text")) > 0)
+
+
 def page_texts(fetched: DataFrame, pages: DataFrame) -> DataFrame:
     """(page, field, host, text) of markup (fetched.content) and extracted text (pages.main_text); no nulls, no blanks."""
-    host = lambda c: F.regexp_extract(F.lower(c), r"^(?:[a-z]+://)?(?:www\.)?([^/:?#]+)", 1)
-    markup = fetched.select(F.col("page_id").alias("page"), F.lit("content").alias("field"), host(F.coalesce("final_url", "requested_url")).alias("host"), F.col("content").alias("text"))
-    texts = pages.select(F.col("page_id").alias("page"), F.lit("main_text").alias("field"), host(F.col("url")).alias("host"), F.col("main_text").alias("text"))
-    return markup.unionByName(texts).filter(F.length(F.trim("text")) > 0).withColumn("host", F.coalesce("host", F.lit("")))
+    markup = fetched.select(F.col("page_id").alias("page"), F.lit("content").alias("field"), _host(F.coalesce("final_url", "requested_url")).alias("host"), F.col("content").alias("text"))
+    return markup.filter(F.length(F.trim("text")) > 0).withColumn("host", F.coalesce("host", F.lit(""))).unionByName(extracted_texts(pages, "main_text"))
 
 
 def residue_texts(texts: DataFrame, min_pages: int = 10) -> DataFrame:
