@@ -43,7 +43,7 @@ ADDRESS = re.compile(r"\b[\w.+-]+@[\w-]+\.\w+")
 MARKS = re.compile(r"\{\{.*?\}\}+|\$\{+.*?\}+|%%\w+%%|<%.*?%>|\{%.*?%\}|#\{.*?\}|\[\[.*?\]\]|__[A-Z_]{3,}__|@@\w+@@|\{\$[^}]*\}|\[object Object\]|\bundefined\b|\bNaN\b|<!--.*?-->|<(?:your|insert|enter)\b[^>]*>|\[[^\]]*\b(?:goes here|to come|here)\]|\[(?:headline|insert|your)\b[^\]]*\]|\{\d\}|%[sd]\b", re.I)
 # Filler, errors and demands for scripts, matched on the whole case-folded line.
 FILLER = re.compile(
-    r".*\blorem ipsum\b.*|.*\bdolor sit amet\b.*|.*\b(?:consectetur|adipiscing|incididunt|exercitation ullamco|pariatur)\b.*|(?:tk\W*)+|[x\W]*x{3,}[x\W]*|(?:asdf|test|qwerty|foo|bar|blah|\d+|\W)+"
+    r".*\blorem ipsum\b.*|.*\bdolor sit amet\b.*|.*\b(?:consectetur|adipiscing|incididunt|exercitation ullamco|pariatur)\b.*|(?:tk\W*)+|(?=.*xxx)[x\W]+|(?:asdf|test|qwerty|foo|bar|blah|\d|\W)+"
     r"|dummy (?:copy|text)\b.*|(?:sample|placeholder|filler|example) (?:text|copy|content)\b.*|this is a test (?:post|page|article)\b.*|your (?:first |main )?(?:paragraph|headline|text|story|content|title)s? (?:goes|here)\b.*|(?:type|enter|insert|add|write) your (?:text|story|content|headline)\b.*|.*\breplace this with your own\b.*|hello world!?|coming soon\.?"
     r"|texto de (?:relleno|ejemplo|prueba)\b.*|(?:beispiel|platzhalter|blind|füll)text\b.*|texte (?:de remplissage|d['’]exemple|factice)\b.*|.*ダミーテキスト.*|.*サンプルテキスト.*|.*(?:示例|占位|测试)(?:文本|文字|内容).*|.*текст-заполнитель.*|.*рыбный текст.*|(?:пример|образец) текста.*|نص (?:تجريبي|بديل|مؤقت).*|.*नमूना पाठ.*|ข้อความตัวอย่าง.*"
 )
@@ -76,8 +76,13 @@ LATIN_FILLER = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum"
     " augue massa quam ligula felis odio mattis semper vitae dapibus porta sapien turpis cursus donec vel ac at nec mauris vestibulum pellentesque morbi tristique senectus netus malesuada fames egestas integer tellus viverra accumsan faucibus ornare suspendisse interdum consequat neque gravida risus".split()
 )
-#: Longer lines are neither furniture nor residue, filler text apart.
+#: Lines up to this length are judged as one cue and kept in the cache; longer ones sentence by sentence.
 LONGEST_CUE = 180
+#: Three marks or more are a layout if there is one for so many characters.
+CHARS_A_MARK = LONGEST_CUE / 3
+#: Share of a line's characters in sentences of a kind from which the whole line is of that kind.
+RESIDUE_SHARE = 0.5
+SENTENCES = re.compile(r"(?<=[.!?;。！？।؟])\s+|(?<=[。！？])")
 _CUES: dict[str, tuple[bool, str | None]] = {}
 
 
@@ -110,19 +115,48 @@ def _residue(text: str, low: str) -> str | None:
     return "mark" if marks else None
 
 
+def _line_cues(line: str) -> tuple[bool, str | None]:
+    text = html.unescape(line)
+    low = text.casefold()
+    kind = _residue(text, low) or ("filler" if _latin_filler(low) else None)
+    return kind in (None, "mark") and _furniture(text, low), kind
+
+
+def _shared_cues(line: str, marked: bool) -> tuple[bool, str | None]:
+    """Cues of a line of several sentences: what at least RESIDUE_SHARE of its characters are."""
+    parts = sorted(SENTENCES.split(line), key=len, reverse=True)
+    left = total = sum(map(len, parts))
+    furniture, residue = 0, {}
+    for part in parts:
+        # the longest first: no more are read than it takes to rule both out
+        if max(furniture, sum(residue.values())) + left < RESIDUE_SHARE * total:
+            break
+        left -= len(part)
+        is_furniture, kind = _line_cues(part)
+        furniture += len(part) * is_furniture
+        if kind not in (None, "mark"):
+            residue[kind] = residue.get(kind, 0) + len(part)
+    if residue and sum(residue.values()) >= RESIDUE_SHARE * total:
+        return False, max(residue, key=residue.get)
+    return furniture >= RESIDUE_SHARE * total, "mark" if marked else None
+
+
 def cues(line: str) -> tuple[bool, str | None]:
     """(furniture?, residue kind) of a line with single blanks.
 
     The kind is 'layout', 'filler', 'error' or 'script' if the whole line is such residue, 'mark' if it only holds an
-    unfilled mark. Short lines come again and again, so their answers are kept for a while.
+    unfilled mark. A long line is judged by the share of its sentences that are so. Short lines come again and again, so
+    their answers are kept for a while.
     """
     if len(line) > LONGEST_CUE:
-        return False, "filler" if _latin_filler(line) else None
+        if _latin_filler(line):
+            return False, "filler"
+        marks = MARKS.findall(line)
+        if len(marks) >= max(3, len(line) / CHARS_A_MARK) or marks and not any(c.isalnum() for c in MARKS.sub(" ", line)):
+            return False, "layout"
+        return _shared_cues(line, bool(marks))
     if (known := _CUES.get(line)) is None:
-        text = html.unescape(line)
-        low = text.casefold()
-        kind = _residue(text, low) or ("filler" if _latin_filler(low) else None)
-        known = (kind in (None, "mark") and _furniture(text, low), kind)
+        known = _line_cues(line)
         if len(_CUES) > 100_000:
             _CUES.clear()
         _CUES[line] = known
