@@ -2,9 +2,9 @@
 
 A line break always ends a sentence. Within a line, quotations are paired first. In spaced scripts every terminator is a
 node of a lattice whose edges (what stands before, what comes next, which quotation holds it) decide if a sentence ends
-there. In scripts without spaces the words are found as the cheapest path of a dictionary lattice; their marks end
-sentences, and where there are none (Thai, and gaps in Japanese and Chinese) a gap is classified by the final word or
-particle before it and the opening word behind it.
+there. Chinese and Japanese sentences end by their marks, without a word lattice. Thai words are found as the cheapest
+path of a lattice over a short fixed list, any other run of letters counts as one unknown word, and a gap is classified by
+the final word before it and the opening word behind it.
 """
 
 from __future__ import annotations
