@@ -1,10 +1,9 @@
 """Problem 5: the page's own text among menus, notices, teasers and footers, by two-pass block rules.
 
-Blocks are the lines of the text. The first pass looks at a block alone: stop-word density, length and link density
-(shares of link rows, addresses and cue wording) call it good, bad or short. In the second pass the short ones inherit
-from their nearest decided neighbours, within the span that the headline opens. Pages that problem 6 names are vetoed by
-the query. A page whose text is residue of a layout
-or an error page instead of a story has no lines of its own.
+Blocks are the lines of the text. The first pass looks at a block: stop-word density and length by itself, and its link
+density, the share of it in wording that recurs as furniture of sites (`recurrence`). It calls blocks good, bad or short.
+In the second pass the short ones inherit from their nearest decided neighbours, within the span that the headline opens.
+Pages that problem 6 names by the same text or main_text have no lines of their own.
 """
 
 from __future__ import annotations
@@ -16,62 +15,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verbatrix.llm.arrow import map_batches
-from verbatrix.llm.page_lines import WORD, cues, dense_letters, is_wording, plain
+from verbatrix.llm.recurrence import BAD, COMMON, GOOD, HEAD, MENU, MENU_WORDS, RESIDUE, SHORT, host_of, link_templates, page_lines, read_lines, with_links
+from verbatrix.llm.residue_pages import is_residue, residual_cases
+from verbatrix.operators.sizing import join_measured
 
-GOOD, BAD, SHORT, HEAD, MENU = "good", "bad", "short", "head", "menu"
-#: Short blocks of at most so many words are menu entries unless they stand in a list of longer ones.
-MENU_WORDS = 2
 #: Menus and footers are sections of more bad blocks than so many in a row.
 INSERT = 2
+#: Words of a short block that may open a story without a headline.
+OPENING_WORDS = 4
 
 
-def _is_headline(line: str, title: str) -> bool:
-    if len(line) < 8 or line not in title:
-        return False
-    rest = title[len(line) :].lstrip() if title.startswith(line) else "x"
-    return not rest or rest[0] in "|·-–—:•" or len(line) >= 0.5 * len(title)
-
-
-def first_pass(line: str, title: str) -> str:
-    """A block by itself. line has single blanks."""
-    furniture, kind = cues(line)
-    if kind not in (None, "mark"):
-        return BAD
-    if title and _is_headline(line.casefold(), title):
-        return HEAD
-    if furniture:
-        return BAD
-    if is_wording(line):
-        return GOOD
-    if not dense_letters(line) and len(WORD.findall(line)) <= MENU_WORDS:
-        return MENU
-    return SHORT
-
-
-def is_residue(lines: list[str]) -> bool:
-    """Residue of a layout, filler, error or script page and no running text beside it."""
-    found = False
-    for line in lines:
-        furniture, kind = cues(line)
-        if kind not in (None, "mark"):
-            found = True
-        elif not furniture and is_wording(line):
-            return False
-    return found
-
-
-def _size(line: str) -> int:
-    """Words of a line; two letters of a script without spaces count as one."""
-    return max(len(WORD.findall(line)), dense_letters(line) // 2)
-
-
-def _list_entries(at: list[int], lines: list[str], label: dict[int, str]) -> list[int]:
+def _list_entries(at: list[int], size: dict[int, int], label: dict[int, int]) -> list[int]:
     """Menu-sized lines that stand between longer short ones: entries of one list."""
-    longer = {i for i in at if label[i] == SHORT and _size(lines[i]) > MENU_WORDS}
+    longer = {i for i in at if label[i] == SHORT and size[i] > MENU_WORDS}
     return [i for h, i, j in zip(at, at[1:], at[2:]) if label[i] == MENU and h in longer and j in longer]
 
 
-def second_pass(at: list[int], label: dict[int, str]) -> dict[int, str]:
+def second_pass(at: list[int], label: dict[int, int]) -> dict[int, int]:
     """Labels of blocks with each run of short ones decided by its nearest decided neighbours.
 
     Up to INSERT bad blocks among others are inserts (share links, adverts) and decide nothing. Of differing neighbours
@@ -104,53 +64,61 @@ def second_pass(at: list[int], label: dict[int, str]) -> dict[int, str]:
     return out
 
 
-def own_lines(text: str, title: str | None = None, main_text: str | None = None) -> list[int]:
-    """Numbers, from 1, of the lines of text that are the page's own."""
-    lines = [plain(x) for x in text.split("\n")]
-    at = [i for i, x in enumerate(lines) if x]
-    if is_residue([lines[i] for i in at]) or main_text and is_residue([p for x in main_text.split("\n") if (p := plain(x))]):
-        return []
-    wanted = plain(title or "").casefold()
-    label = {i: first_pass(lines[i], wanted) for i in at}
-    entries = _list_entries(at, lines, label)
+def own_blocks(no: list[int], labels: list[int], sizes: list[int], link: list[bool]) -> list[int]:
+    """Numbers of the blocks that are the page's own, by what each is, its words and whether it is link wording."""
+    at, size = no, dict(zip(no, sizes))
+    label = {i: BAD if x == RESIDUE or linked and x != HEAD else x for i, x, linked in zip(no, labels, link)}
+    entries = _list_entries(at, size, label)
     label |= {i: BAD for i in at if label[i] == MENU} | {i: SHORT for i in entries}
     good = [i for i in at if label[i] == GOOD]
     heads = [i for i in at if label[i] == HEAD and (not good or i < good[-1])] or [i for i in at if label[i] == HEAD]
     if heads:
         start = heads[0]
     elif good:
-        before = [i for i in at if i < good[0] and label[i] == SHORT and _size(lines[i]) >= 4]
+        before = [i for i in at if i < good[0] and label[i] == SHORT and size[i] >= OPENING_WORDS]
         start = before[-1] if before else good[0]
         label[start] = HEAD if label[start] == SHORT else label[start]
     else:
         return []
     final = second_pass([i for i in at if i >= start], label)
-    return [i + 1 for i in at if i >= start and final[i] in (GOOD, HEAD)]
+    return [i for i in at if i >= start and final[i] in (GOOD, HEAD)]
+
+
+def own_lines(text: str, title: str | None = None, main_text: str | None = None) -> list[int]:
+    """Numbers, from 1, of the lines of one text that are the page's own, without counts over other pages."""
+    if is_residue(text.split("\n")) or main_text and is_residue(main_text.split("\n")):
+        return []
+    got = read_lines(text, False, title or "", "")
+    return own_blocks(got["no"], got["label"], got["size"], [False] * len(got["no"]))
 
 
-def _scan(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+def _own(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
     for b in batches:
         out: dict[str, list] = {"page": [], "line_no": []}
-        for page, text, title, main in zip(b["page"], b["text"], b["title"], b["main"]):
-            if text and text.strip():
-                found = own_lines(text, title, main)
-                out["page"].extend([page] * len(found))
-                out["line_no"].extend(found)
+        for page, *rest in zip(b["page"], b["no"], b["label"], b["size"], b["link"]):
+            found = own_blocks(*rest)
+            out["page"].extend([page] * len(found))
+            out["line_no"].extend(found)
         yield out
 
 
-def main_lines(pages: DataFrame, page_col: str = "page_id", text_col: str = "full_text", title_col: str = "title", main_col: str = "main_text") -> DataFrame:
+def main_lines(pages: DataFrame, page_col: str = "page_id", text_col: str = "full_text", title_col: str = "title", main_col: str = "main_text", url_col: str = "url", min_pages: int = COMMON) -> DataFrame:
     """(page, line_no) of the lines that are each page's own text; line_no counts from 1 at `\\n`, blank lines included.
 
-    One narrow pass without a shuffle. Null and blank texts give nothing, a null title only loses the help of the headline,
-    a null main text its veto; whole texts are read; repeated rows give their lines each.
+    Texts are read once and whole; what is shuffled are hashes of lines. Null and blank texts give nothing, a null title
+    only loses the help of the headline, a null main text its veto, a missing or null url the words of the site's name;
+    repeated rows give their lines each, and count once as furniture.
     """
-    rows = pages.select(F.col(page_col).alias("page"), F.col(text_col).alias("text"), F.col(title_col).alias("title"), F.col(main_col).alias("main"))
-    return map_batches(rows, _scan, f"page {rows.schema['page'].dataType.simpleString()}, line_no int")
+    host = host_of(F.col(url_col)) if url_col in pages.columns else F.lit("")
+    rows = pages.select(F.col(page_col).alias("page"), host.alias("host"), F.col(title_col).alias("title"), F.explode(F.create_map(F.lit("full"), F.col(text_col), F.lit("main"), F.col(main_col))).alias("field", "text"))
+    lines = page_lines(rows)
+    linked = with_links(lines, link_templates(lines.filter("field = 'full'"), min_pages))
+    own = map_batches(linked.filter("field = 'full'").select("page", "no", "label", "size", "link"), _own, f"page {rows.schema['page'].dataType.simpleString()}, line_no int")
+    return join_measured(own, residual_cases(linked, min_pages).select("page").distinct(), ["page"], "left_anti")
 
 
 def with_main_content(pages: DataFrame, text_col: str = "full_text", title_col: str = "title", main_col: str = "main_text", out_col: str = "own_text") -> DataFrame:
-    """pages with a column of the page's own text (null for a null text, empty if nothing is the page's own)."""
+    """pages with a column of the page's own text, each page by itself (null for a null text, empty if nothing is the page's own)."""
     def cut(texts: pd.Series, titles: pd.Series, mains: pd.Series) -> pd.Series:
         def one(text: str | None, title: str | None, main: str | None) -> str | None:
             if text is None:

@@ -1,7 +1,7 @@
-"""What a single line of a web page looks like: furniture, residue of a layout or an error page, wording, or open.
+"""What a single line of a web page looks like by itself: furniture, residue of a layout or an error page, wording, or open.
 
-The patterns are cues of wording that pages of any publisher share (menus, notices, bylines, teasers, error pages); they
-decide lines that counts alone can't, such as a teaser that stands on one page only.
+The cues are short lists of generic words and the syntax of template languages, no wording of any site. What recurs is
+counted in `recurrence`; a cue only helps where a line is too rare to be counted.
 """
 
 from __future__ import annotations
@@ -14,51 +14,46 @@ from verbatrix.llm.lexicon import ENDS_LIKE_PROSE, FUNCTION_SETS, HAN_KANA, SPAC
 WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 FUNCTION = SPACED_FUNCTION_WORDS | FUNCTION_SETS["fr"]
 
-# Wording of page furniture, matched on the case-folded line with single blanks.
-FURNITURE = [
-    # navigation and page tools
-    r"(?:skip|jump) to (?:main )?content|back to top|menu|home|search(?: this site)?|newsletters?|en español|most (?:read|viewed|popular)|related (?:coverage|stories|articles)|more in .{1,30}|advertisements?|comments are closed\.?|comments?|share",
-    r"sign (?:in|up|out)\b.{0,60}|log ?in\b.{0,30}|register\b.{0,20}|subscribe\b.{0,60}|follow .{2,60}|share (?:this|on)\b.{0,40}|print ?[·|].*|listen to this (?:page|story|article).{0,20}|click (?:to|here)\b.{0,40}|(?:story|article) continues below.{0,20}|read \d+ comments?|view comments.{0,20}",
-    r"weather \d.{0,20}|today is .{4,30}|breaking alerts?:.{0,20}|posted (?:\d+|\$).{0,30}|updated \d+ (?:minutes?|hours?|days?) ago|last updated.{0,40}|published on .{4,30}|\d+ min(?:ute)? read",
-    # notices
-    r".{0,60}\bcookies?\b.{0,80}|.*\byour privacy matters\b.*|do not sell (?:or share )?my personal.*|.*\ball rights reserved\b.*|(?:©|\(c\)|copyright)\s.*|.*\bmay not be published, broadcast, rewritten\b.*|.{0,40}\bterms of (?:use|service)\b.{0,80}|privacy (?:policy|notice).{0,60}",
-    r"nothing on this site is .*|.*\bopinions belong to their authors\b.*|powered by .{2,40}|published by .{2,60}, a .{2,30} company.*|.*\bis a member of the .{2,40}(?:circle|guild|association|press|network)\b.*|.*\bfollows the standards code of\b.*|.*\buses links that may earn\b.*",
-    r"letters to .{2,60} must\b.*|.*\bmay be edited for length\b.*|to reach the .{2,30}desk of .*|call our office.*|have a correction\?.*|tip the .{2,40}desk.*|.*\bring twice and wait\b.*|get the .{2,60} app\b.*|support .{0,30}(?:reporting|journalism)\b.*|donate to .*|.{2,60}: news for the .{2,40} area since \d+.*",
-    # bylines, credits, sources
-    r"by .{2,60} staff|by [^\W\d_][^.!?]{2,45}|by \{\{.*|reporting by .*|(?:additional )?reporting:.*|photo(?:s|graph)? (?:by|:) ?.*|photo courtesy .*|.*/ .{2,40} bureau|(?:image|video|graphic|illustration)(?: by|:) .*|source: .*|distributed by .*|this text first ran in .*|.*\breach the desk by phone\b.*|.*\bcovers .{2,30} (?:for|in|at) .{2,60}\. (?:reach|contact|email|follow)\b.*|tags?: .*|filed under:? .*|topics?: .{2,60}|categor(?:y|ies): .*",
-    # teasers, adverts, readers
-    r"(?:next|up next|previous|read more|read next|see also|also read|related|watch|listen|recommended|more|editor['’]s picks?|trending(?: now)?|you (?:might|may) also like|events near .{2,60}|sponsored(?: content)?|paid (?:post|content)|advertisement|promoted|obituaries|jobs (?:in|at) .{2,60}|this week in .{2,60}|correction box|on this day|classifieds?|deals?|contest|poll|quiz|horoscopes?)\s?:.*",
-    r".{2,60} wrote: .*|.{2,60}: five takeaways|.{2,60} offers winter checks\.?|.*\bthanks!\s*",
-    # other languages
-    r"más leíd[oa]s?|compartir .{2,30}|suscríbase .*|usamos cookies.*|aviso legal.*|.*\bpolítica de (?:privacidad|cookies)\b.*|meistgelesen|artikel teilen|abonnieren sie .*|wir verwenden cookies.*|impressum.*|datenschutz.*",
-    r"les plus lus|partager .{2,30}|abonnez-vous .*|nous utilisons des cookies.*|mentions légales.*|.*\bpolitique de confidentialité\b.*|поделиться.{0,40}|подпис(?:аться|ывайтесь|ка).{0,60}|самое читаемое|мы используем.{0,60}|.*пользовательское соглашение.*|.*политика конфиденциальности.*|о нас.*",
-    r"この記事をシェア.*|.*クッキーを使用.*|会社概要.*|.*利用規約.*|関連記事.*|人気記事.*|よく読まれ.*|メニュー|分享本文|分享.{0,6}|本站使用 ?cookie.*|关于我们.*|隐私政策.*|相关(?:阅读|新闻).*|最受欢迎.*|热门.{0,8}|订阅.{0,60}",
-    r"شارك.{0,40}|اشترك.{0,60}|سياسة الخصوصية.*|الأكثر قراءة.*|من نحن.*|.*ملفات (?:تعريف الارتباط|الارتباط).*|يستخدم هذا الموقع.*|शेयर करें.{0,30}|(?:यह |इस )?(?:खबर|लेख).{0,20}(?:साझा|शेयर).{0,20}|सबसे (?:ज़्यादा|अधिक|ज्यादा) पढ़.{0,20}|हमारे बारे में.*|गोपनीयता नीति.*|.*कुकी.{0,40}|सदस्यता.{0,60}|แชร์.{0,40}|สมัครสมาชิก.{0,60}|ยอดนิยม|นโยบายความเป็นส่วนตัว.*|.*คุกกี้.{0,40}|เกี่ยวกับเรา.*|อ่านมากที่สุด",
-]
-FURNITURE_RE = re.compile("|".join(f"(?:{x})" for x in FURNITURE))
+# Words of page furniture, in English.
+FURNITURE_WORDS = frozenset("advertisement cookie cookies privacy copyright © reserved subscribe newsletter login register share follow comments menu related also sponsored trending terms posted updated tags filed".split())
+#: Furniture words that count only at the head of a line, and the words a line they head may have.
+FURNITURE_HEADS = frozenset("by photo source more most home search sign read".split())
+HEADED_WORDS = 6
+#: Share of furniture words from which a line is furniture.
+FURNITURE_SHARE = 0.15
 SEPARATED = re.compile(r"\s[|·•]\s")
 ADDRESS = re.compile(r"\b[\w.+-]+@[\w-]+\.\w+")
 
-# Marks of an unfilled layout.
+# Syntax of unfilled layouts.
 MARKS = re.compile(r"\{\{.*?\}\}+|\$\{+.*?\}+|%%\w+%%|<%.*?%>|\{%.*?%\}|#\{.*?\}|\[\[.*?\]\]|__[A-Z_]{3,}__|@@\w+@@|\{\$[^}]*\}|\[object Object\]|\bundefined\b|\bNaN\b|<!--.*?-->|<(?:your|insert|enter)\b[^>]*>|\[[^\]]*\b(?:goes here|to come|here)\]|\[(?:headline|insert|your)\b[^\]]*\]|\{\d\}|%[sd]\b", re.I)
-# Filler, errors and demands for scripts, matched on the whole case-folded line.
-FILLER = re.compile(
-    r".*\blorem ipsum\b.*|.*\bdolor sit amet\b.*|.*\b(?:consectetur|adipiscing|incididunt|exercitation ullamco|pariatur)\b.*|(?:tk\W*)+|(?=.*xxx)[x\W]+|(?:asdf|test|qwerty|foo|bar|blah|\d|\W)+"
-    r"|dummy (?:copy|text)\b.*|(?:sample|placeholder|filler|example) (?:text|copy|content)\b.*|this is a test (?:post|page|article)\b.*|your (?:first |main )?(?:paragraph|headline|text|story|content|title)s? (?:goes|here)\b.*|(?:type|enter|insert|add|write) your (?:text|story|content|headline)\b.*|.*\breplace this with your own\b.*|hello world!?|coming soon\.?"
-    r"|texto de (?:relleno|ejemplo|prueba)\b.*|(?:beispiel|platzhalter|blind|füll)text\b.*|texte (?:de remplissage|d['’]exemple|factice)\b.*|.*ダミーテキスト.*|.*サンプルテキスト.*|.*(?:示例|占位|测试)(?:文本|文字|内容).*|.*текст-заполнитель.*|.*рыбный текст.*|(?:пример|образец) текста.*|نص (?:تجريبي|بديل|مؤقت).*|.*नमूना पाठ.*|ข้อความตัวอย่าง.*"
-)
-ERRORS = re.compile(
-    r"(?:error )?[45]\d\d(?:\W.{0,60})?|(?:error|fehler|erreur)\W{0,3}[45]\d\d\b.{0,60}|http (?:status|error)\b.{0,60}|.{0,12}page (?:was )?(?:not found|can(?:no|')t be found|unavailable)\b.{0,60}|oops!?.{0,80}|the (?:link you followed|page you (?:requested|are looking for|were looking for))\b.{0,90}|too many requests\b.{0,60}|down for maintenance\b.{0,60}|(?:we are|site is|temporarily) (?:down|under maintenance|unavailable)\b.{0,60}|error establishing\b.{0,60}|access (?:denied|forbidden)\b.{0,80}|(?:forbidden|unauthorized|service unavailable|bad gateway|gateway time-?out|internal (?:server )?error)\b.{0,60}"
-    r"|(?:warning|fatal error|parse error|notice): .{0,40}(?:failed|line \d+|undefined|unexpected|on null).{0,60}|traceback\b.{0,90}|exception in thread\b.{0,80}|.{0,40}(?:stack trace|segmentation fault)\b.{0,60}|(?:type|key|value|syntax|reference|runtime)error\b.{0,80}|ora-\d{4,}.{0,80}|sql(?:state)?\b.{0,20}error.{0,60}"
-    r"|seite (?:nicht gefunden|konnte nicht).{0,60}|(?:zugriff|zugang) verweigert.{0,60}|page (?:introuvable|non trouvée|inexistante).{0,60}|accès (?:refusé|interdit).{0,60}|(?:la )?página (?:no (?:existe|encontrada|se encuentra|disponible)).{0,60}|acceso denegado.{0,60}|.{0,20}(?:ページ(?:は|が)見つかりません|アクセスが拒否).{0,20}|.{0,12}(?:页面不存在|找不到(?:该)?页面|页面未找到|访问被拒绝|服务器错误).{0,20}|страница не (?:найдена|существует).{0,60}|доступ (?:запрещ[её]н|закрыт).{0,60}|(?:لم يتم العثور على|الصفحة غير موجودة).{0,60}|.{0,12}(?:पृष्ठ|पेज) नहीं मिला.{0,30}|ไม่พบ(?:หน้า|เพจ).{0,60}"
-)
-SCRIPTS = re.compile(
-    r"(?:please )?(?:enable|turn on|activate|allow) (?:java ?scripts?|scripts?|cookies and javascript)\b.{0,80}|(?:you need to|you must|to continue,?|to view this (?:page|site),?) .{0,30}javascript\b.{0,60}|.{0,40}\b(?:requires?|needs?) (?:java)?scripts?\b.{0,60}|noscript\b.{0,60}|loading\W{1,6}.{0,60}scripts?.{0,20}|loading\W{0,3}|javascript (?:is )?(?:required|disabled|off)\b.{0,60}|checking your browser\b.{0,60}|verify(?:ing)? (?:that )?you are (?:a (?:person|human)|human|not a robot)\b.{0,40}|your browser (?:does not|doesn['’]t|is not)\b.{0,80}|are you a (?:human|robot)\??|(?:complete|solve) the captcha\b.{0,40}"
-    r"|(?:bitte )?(?:aktivieren|schalten) sie (?:bitte )?javascript\b.{0,60}|(?:necesita|debe|por favor,?|tiene que) (?:activar|active|habilitar|habilite) javascript\b.{0,60}|(?:veuillez|merci d['’]) ?activer javascript\b.{0,60}|.{0,20}javascriptを有効.{0,30}|.{0,12}(?:启用|开启|打开) ?javascript.{0,20}|(?:пожалуйста, )?включите (?:поддержку )?javascript.{0,60}|.{0,20}(?:تفعيل|فعّل) ?(?:جافا ?سكريبت|javascript).{0,40}|.{0,20}(?:जावास्क्रिप्ट|javascript) (?:चालू|सक्षम|सक्रिय).{0,40}|(?:กรุณา|โปรด)?เปิดใช้งาน ?(?:จาวาสคริปต์|javascript).{0,40}"
-)
+# Words of pages in place of a story, by kind; words of other languages stand behind the English ones. The
+# first row of a kind counts double.
+EVIDENCE = {
+    "error": (
+        "error denied forbidden traceback exception unavailable maintenance failed oops introuvable denegado verweigert refusé fehler erreur ошибка",
+        "page found gone broken moved missing access blocked requests later try internal warning status down connection server link followed resource upstream response bad recent call line http"
+        " página existe seite gefunden pas страница найдена الصفحة موجودة पृष्ठ मिला",
+    ),
+    "script": (
+        "javascript noscript captcha scripts browser робот",
+        "enable turn allow reload loading app verify person human continue checking displayed support features requires activar aktivieren activer включите تفعيل सक्षम",
+    ),
+    "filler": (
+        "lorem ipsum placeholder dummy sample beispieltext platzhaltertext blindtext relleno remplissage заполнитель",
+        "text texto texte copy test layout paragraph goes here replace your own post ignore asdf qwerty blah bitte ersetzen",
+    ),
+}
+# The same for scripts without spaces, matched as strings.
+DENSE_EVIDENCE = {"error": ("見つかりません", "找不到", "不存在", "拒绝", "エラー", "错误", "ไม่พบ"), "script": ("有効にして", "启用", "เปิดใช้งาน"), "filler": ("ダミー", "サンプル", "示例", "占位", "ตัวอย่าง")}
+_WEIGHT = {w: (kind, 2 - i) for kind, rows in EVIDENCE.items() for i, row in enumerate(rows) for w in row.split()}
+#: Weight of evidence a line needs at least, and for each of its words.
+EVIDENCE_LEAST, EVIDENCE_SHARE = 2, 0.28
+STATUS = re.compile(r"(?<![\w.,])[45]\d\d(?![\w.,]\d|\w)")
+QUOTED = re.compile(r"“[^”]*”|\"[^\"]*\"|«[^»]*»|「[^」]*」|„[^“”]*[“”]")
 TAG = re.compile(r"<[^<>]*>?")
 BLOCK = re.compile(r"</?(?:p|div|li|ul|ol|h[1-6]|br|tr|td|section|article|header|footer|nav|span|body|html|title|head)\b[^<>]*>", re.I)
 HEAD = re.compile(r"<(head|script|style)\b.*?</\1>", re.I | re.S)
+TITLE = re.compile(r"<title\b[^<>]*>([^<]*)", re.I)
 
 
 def plain(line: str) -> str:
@@ -71,90 +66,83 @@ def markup_lines(markup: str) -> list[str]:
     return [x for line in text.split("\n") if (x := plain(html.unescape(TAG.sub("", line))))]
 
 
+def markup_title(markup: str) -> str:
+    return plain(html.unescape(m[1])) if (m := TITLE.search(markup)) else ""
+
+
 # Words of Latin filler text.
 LATIN_FILLER = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum"
     " augue massa quam ligula felis odio mattis semper vitae dapibus porta sapien turpis cursus donec vel ac at nec mauris vestibulum pellentesque morbi tristique senectus netus malesuada fames egestas integer tellus viverra accumsan faucibus ornare suspendisse interdum consequat neque gravida risus".split()
 )
-#: Lines up to this length are judged as one cue and kept in the cache; longer ones sentence by sentence.
-LONGEST_CUE = 180
-#: Three marks or more are a layout if there is one for so many characters.
-CHARS_A_MARK = LONGEST_CUE / 3
-#: Share of a line's characters in sentences of a kind from which the whole line is of that kind.
-RESIDUE_SHARE = 0.5
-SENTENCES = re.compile(r"(?<=[.!?;。！？।؟])\s+|(?<=[。！？])")
+#: Lines up to this length are kept in the cache of answers.
+CACHED_LENGTH = 180
 _CUES: dict[str, tuple[bool, str | None]] = {}
 
 
-def _furniture(text: str, low: str) -> bool:
-    if FURNITURE_RE.fullmatch(low):
+def _furniture(line: str, words: list[str]) -> bool:
+    low = [w.casefold() for w in words]
+    if not low:
+        return "©" in line
+    if low[0] in FURNITURE_HEADS and len(low) <= HEADED_WORDS:
         return True
-    if len(SEPARATED.findall(low)) >= 2 or SEPARATED.search(low) and not ENDS_LIKE_PROSE.search(low):
+    if sum(w in FURNITURE_WORDS for w in low) + ("©" in line) >= FURNITURE_SHARE * len(low):
         return True
-    return bool(ADDRESS.search(low)) and len(low) < 90
-
-
-def _latin_filler(text: str) -> bool:
-    words = WORD.findall(text.casefold())
-    return len(words) >= 4 and sum(w in LATIN_FILLER for w in words) >= 0.7 * len(words)
+    if (m := SEPARATED.search(line)) and (SEPARATED.search(line, m.end() - 1) or not ENDS_LIKE_PROSE.search(line)):
+        return True
+    return bool(ADDRESS.search(line)) and len(low) < 15
 
 
-def _residue(text: str, low: str) -> str | None:
-    marks = MARKS.findall(text)
-    if marks:
-        rest = MARKS.sub(" ", text)
-        kept = sum(c.isalnum() for c in rest)
-        if kept == 0 or len(marks) >= 3 or len(marks) == 2 and kept < 0.6 * sum(c.isalnum() for c in text) + 4:
-            return "layout"
-    if ERRORS.fullmatch(low):
-        return "error"
-    if SCRIPTS.fullmatch(low):
-        return "script"
-    if FILLER.fullmatch(low) and re.search(r"[^\W\d]", low) and ("lorem" not in low or len(low) < 60):
-        return "filler"
-    return "mark" if marks else None
+def _filler(words: list[str]) -> bool:
+    """Latin filler, or the same few words over and over."""
+    n = len(words)
+    if n >= 4 and sum(w in LATIN_FILLER for w in words) >= 0.7 * n:
+        return True
+    return n >= 3 and len(set(words)) <= 0.6 * n and all(len(set(w)) <= 4 and len(w) <= 4 or w.isdigit() for w in words)
+
+
+def _evidence(line: str) -> str | None:
+    line = QUOTED.sub(" ", line) if any(c in line for c in '“"«「„') else line
+    weights: dict[str, float] = {}
+    words = WORD.findall(line.casefold())
+    for w in words:
+        if (at := _WEIGHT.get(w)) is not None:
+            weights[at[0]] = weights.get(at[0], 0) + at[1]
+    if STATUS.search(line):
+        weights["error"] = weights.get("error", 0) + 1 + (len(words) == 1)
+    dense = dense_letters(line)
+    if dense:
+        for kind, marks in DENSE_EVIDENCE.items():
+            if n := sum(line.count(m) * len(m) for m in marks):
+                weights[kind] = weights.get(kind, 0) + n
+    total = sum(weights.values())
+    if total < EVIDENCE_LEAST or total < EVIDENCE_SHARE * max(len(words), dense):
+        return None
+    return max(weights, key=weights.get)
 
 
 def _line_cues(line: str) -> tuple[bool, str | None]:
     text = html.unescape(line)
-    low = text.casefold()
-    kind = _residue(text, low) or ("filler" if _latin_filler(low) else None)
-    return kind in (None, "mark") and _furniture(text, low), kind
-
-
-def _shared_cues(line: str, marked: bool) -> tuple[bool, str | None]:
-    """Cues of a line of several sentences: what at least RESIDUE_SHARE of its characters are."""
-    parts = sorted(SENTENCES.split(line), key=len, reverse=True)
-    left = total = sum(map(len, parts))
-    furniture, residue = 0, {}
-    for part in parts:
-        # the longest first: no more are read than it takes to rule both out
-        if max(furniture, sum(residue.values())) + left < RESIDUE_SHARE * total:
-            break
-        left -= len(part)
-        is_furniture, kind = _line_cues(part)
-        furniture += len(part) * is_furniture
-        if kind not in (None, "mark"):
-            residue[kind] = residue.get(kind, 0) + len(part)
-    if residue and sum(residue.values()) >= RESIDUE_SHARE * total:
-        return False, max(residue, key=residue.get)
-    return furniture >= RESIDUE_SHARE * total, "mark" if marked else None
+    marks = len(MARKS.findall(text))
+    words = WORD.findall(MARKS.sub(" ", text) if marks else text)
+    if marks and (not words or marks >= 2 and len(words) <= 2 * marks):
+        return False, "layout"
+    if _filler([w.casefold() for w in words]):
+        return False, "filler"
+    if kind := _evidence(text):
+        return False, kind
+    return _furniture(text, words), "mark" if marks else None
 
 
 def cues(line: str) -> tuple[bool, str | None]:
     """(furniture?, residue kind) of a line with single blanks.
 
-    The kind is 'layout', 'filler', 'error' or 'script' if the whole line is such residue, 'mark' if it only holds an
-    unfilled mark. A long line is judged by the share of its sentences that are so. Short lines come again and again, so
-    their answers are kept for a while.
+    The kind is 'layout', 'filler', 'error' or 'script' if the line for the most part is such residue, 'mark' if it only
+    holds an unfilled mark. Shares of words decide, so the length of a line makes no difference. Short lines come again
+    and again, so their answers are kept for a while.
     """
-    if len(line) > LONGEST_CUE:
-        if _latin_filler(line):
-            return False, "filler"
-        marks = MARKS.findall(line)
-        if len(marks) >= max(3, len(line) / CHARS_A_MARK) or marks and not any(c.isalnum() for c in MARKS.sub(" ", line)):
-            return False, "layout"
-        return _shared_cues(line, bool(marks))
+    if len(line) > CACHED_LENGTH:
+        return _line_cues(line)
     if (known := _CUES.get(line)) is None:
         known = _line_cues(line)
         if len(_CUES) > 100_000:
@@ -169,7 +157,7 @@ def stop_density(words: list[str]) -> float:
 
 def dense_letters(line: str) -> int:
     """Letters of scripts without spaces."""
-    return len(HAN_KANA.findall(line)) + len(THAI.findall(line))
+    return 0 if line.isascii() else len(HAN_KANA.findall(line)) + len(THAI.findall(line))
 
 
 def is_wording(line: str) -> bool:

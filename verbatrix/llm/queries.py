@@ -12,11 +12,11 @@ from verbatrix.llm.main_content import main_lines
 from verbatrix.llm.one_form import look_alikes, with_forms
 from verbatrix.llm.packing import fill, packed
 from verbatrix.llm.repeated_lines import line_templates, repeated_lines, without_repeated_lines
-from verbatrix.llm.residue_pages import extracted_texts, page_texts, residue_texts
+from verbatrix.llm.residue_pages import page_texts, residue_texts
 from verbatrix.llm.school_links import school_links
 from verbatrix.llm.sentences import sentences
 from verbatrix.llm.text_quality import text_statistics
-from verbatrix.operators.sizing import join_measured, spread
+from verbatrix.operators.sizing import spread
 from verbatrix.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,20 +88,18 @@ def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    pages = texts(spark, folder, "main_texts", "page_id", "url", "full_text", "title", "main_text")
-    residue = residue_texts(extracted_texts(pages, "main_text", "full_text")).select("page").distinct()
-    return join_measured(main_lines(pages), residue, ["page"], "left_anti").withColumnRenamed("page", "page_id")
+    return main_lines(texts(spark, folder, "main_texts", "page_id", "url", "full_text", "title", "main_text")).withColumnRenamed("page", "page_id")
 
 
 @query
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    pages = page_texts(texts(spark, folder, "fetch_results", "page_id", "final_url", "requested_url", "content"), texts(spark, folder, "main_texts", "page_id", "url", "main_text"))
+    pages = page_texts(texts(spark, folder, "fetch_results", "page_id", "final_url", "requested_url", "content"), texts(spark, folder, "main_texts", "page_id", "url", "title", "main_text"))
     return residue_texts(pages).select(F.col("page").alias("page_id")).distinct()
 
 
 @query
 def p6_kinds(spark: SparkSession, folder: str) -> DataFrame:
-    pages = page_texts(texts(spark, folder, "fetch_results", "page_id", "final_url", "requested_url", "content"), texts(spark, folder, "main_texts", "page_id", "url", "main_text"))
+    pages = page_texts(texts(spark, folder, "fetch_results", "page_id", "final_url", "requested_url", "content"), texts(spark, folder, "main_texts", "page_id", "url", "title", "main_text"))
     return residue_texts(pages).withColumnRenamed("page", "page_id").withColumn("kinds", F.array_join("kinds", ","))
 
 
