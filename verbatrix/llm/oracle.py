@@ -47,3 +47,18 @@ ORACLE["p9_found"] = f"""
 WITH items AS ({_GRAMS.format(id='item_id', table='eval_items')}), docs AS ({_GRAMS.format(id='doc_id', table='documents')})
 SELECT DISTINCT docs.id AS doc_id, items.id AS item_id FROM docs JOIN items USING (g)
 """
+
+#: Sentence marks and what may follow them at the end of a line; marks and rules that are no symbols.
+_ENDS = r"[.!?…。！？｡۔؟।॥][\"'”’»」』）)\]›“]*"
+_KNOWN = r"[\p{L}\p{M}\p{N}\t-\r\x{1c}-\x{20}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}.,:;!?'\"\-–—’‘“”„()«»。、，！？「」：；…¿¡।؟،|<>=]"
+
+ORACLE["p10_counts"] = f"""
+WITH split AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS w,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\s\\x{{a0}}\\x{{3000}}]')) AS lines FROM documents)
+SELECT doc_id, CAST(CASE WHEN lines IS NULL OR len(lines) = 0 THEN 0 ELSE len(w) END AS BIGINT) AS words,
+  CASE WHEN len(lines) > 0 THEN CASE WHEN len(w) > 0 THEN list_sum(list_transform(w, lambda x: length(x)))::DOUBLE / len(w) ELSE 0.0 END END AS mean_word_length,
+  CASE WHEN len(lines) > 0 THEN (length(regexp_replace(text, '{_KNOWN.replace("'", "''")}', '', 'g')) + length(regexp_replace(text, '[^ª²³µ¹º¼½¾]', '', 'g')))::DOUBLE / length(text) END AS symbol_ratio,
+  CASE WHEN len(lines) > 0 THEN len(list_filter(lines, lambda x: regexp_matches(x, '{_ENDS.replace("'", "''")}[\\s\\x{{a0}}\\x{{3000}}]*$')))::DOUBLE / len(lines) END AS punctuated_lines
+FROM split
+"""

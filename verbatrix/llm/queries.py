@@ -86,6 +86,12 @@ def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return text_statistics(texts(spark, folder, "documents", "doc_id", "text")).withColumnRenamed("id", "doc_id")
 
 
+@query
+def p10_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The basic counts alone."""
+    return text_statistics(texts(spark, folder, "documents", "doc_id", "text")).select(F.col("id").alias("doc_id"), "words", "mean_word_length", "symbol_ratio", "punctuated_lines")
+
+
 @query
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return main_lines(texts(spark, folder, "main_texts", "page_id", "url", "full_text", "title", "main_text")).withColumnRenamed("page", "page_id")
