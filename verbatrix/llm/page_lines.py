@@ -9,7 +9,7 @@ from __future__ import annotations
 import html
 import re
 
-from verbatrix.llm.lexicon import ENDS_LIKE_PROSE, FUNCTION_SETS, HAN_KANA, SPACED_FUNCTION_WORDS, THAI
+from verbatrix.llm.lexicon import CLOSERS, ENDERS, FUNCTION_SETS, HAN_KANA, SPACED_FUNCTION_WORDS, THAI
 
 WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 FUNCTION = SPACED_FUNCTION_WORDS | FUNCTION_SETS["fr"]
@@ -22,6 +22,7 @@ HEADED_WORDS = 6
 #: Share of furniture words from which a line is furniture.
 FURNITURE_SHARE = 0.15
 SEPARATED = re.compile(r"\s[|·•]\s")
+DENSE = re.compile(f"{HAN_KANA.pattern}|{THAI.pattern}")
 ADDRESS = re.compile(r"\b[\w.+-]+@[\w-]+\.\w+")
 
 # Syntax of unfilled layouts.
@@ -77,96 +78,120 @@ LATIN_FILLER = frozenset(
 )
 #: Lines up to this length are kept in the cache of answers.
 CACHED_LENGTH = 180
-_CUES: dict[str, tuple[bool, str | None]] = {}
+_MAY_MARK = re.compile(r"[{\[<%]|@@|__|undefined|nan", re.I)
+_MAY_SEPARATE = re.compile("[|·•]")
+_END, _CLOSE = frozenset(ENDERS), CLOSERS
+_FACTS: dict[str, tuple[bool, str | None, bool, int]] = {}
 
 
-def _furniture(line: str, words: list[str]) -> bool:
-    low = [w.casefold() for w in words]
+def ends_like_prose(line: str) -> bool:
+    """Does the line, free of white space at its end, end in a sentence mark, or one in front of closers?"""
+    return line.rstrip(_CLOSE)[-1:] in _END if line else False
+
+
+def _furniture(line: str, low: list[str]) -> bool:
     if not low:
         return "©" in line
     if low[0] in FURNITURE_HEADS and len(low) <= HEADED_WORDS:
         return True
-    if sum(w in FURNITURE_WORDS for w in low) + ("©" in line) >= FURNITURE_SHARE * len(low):
+    if not FURNITURE_WORDS.isdisjoint(low) or "©" in line:
+        if sum(w in FURNITURE_WORDS for w in low) + ("©" in line) >= FURNITURE_SHARE * len(low):
+            return True
+    if _MAY_SEPARATE.search(line) and (m := SEPARATED.search(line)) and (SEPARATED.search(line, m.end() - 1) or not ends_like_prose(line)):
         return True
-    if (m := SEPARATED.search(line)) and (SEPARATED.search(line, m.end() - 1) or not ENDS_LIKE_PROSE.search(line)):
-        return True
-    return bool(ADDRESS.search(line)) and len(low) < 15
+    return "@" in line and len(low) < 15 and bool(ADDRESS.search(line))
 
 
 def _filler(words: list[str]) -> bool:
     """Latin filler, or the same few words over and over."""
     n = len(words)
-    if n >= 4 and sum(w in LATIN_FILLER for w in words) >= 0.7 * n:
+    if n >= 4 and not LATIN_FILLER.isdisjoint(words) and sum(w in LATIN_FILLER for w in words) >= 0.7 * n:
         return True
     return n >= 3 and len(set(words)) <= 0.6 * n and all(len(set(w)) <= 4 and len(w) <= 4 or w.isdigit() for w in words)
 
 
-def _evidence(line: str) -> str | None:
-    line = QUOTED.sub(" ", line) if any(c in line for c in '“"«「„') else line
-    weights: dict[str, float] = {}
-    words = WORD.findall(line.casefold())
+def _weights(words: list[str]) -> dict[str, float]:
+    out: dict[str, float] = {}
     for w in words:
         if (at := _WEIGHT.get(w)) is not None:
-            weights[at[0]] = weights.get(at[0], 0) + at[1]
-    if STATUS.search(line):
-        weights["error"] = weights.get("error", 0) + 1 + (len(words) == 1)
-    dense = dense_letters(line)
+            out[at[0]] = out.get(at[0], 0) + at[1]
+    return out
+
+
+def _evidence(line: str, words: list[str], dense: int) -> str | None:
+    weights = _weights(words) if not _WEIGHT.keys().isdisjoint(words) else {}
     if dense:
         for kind, marks in DENSE_EVIDENCE.items():
             if n := sum(line.count(m) * len(m) for m in marks):
                 weights[kind] = weights.get(kind, 0) + n
+    if not weights and len(words) > 1:
+        return None
+    if any(c in line for c in '“"«「„'):  # what stands in quotation marks is talked about
+        line = QUOTED.sub(" ", line)
+        words = WORD.findall(line.casefold())
+        weights = _weights(words)
+    if STATUS.search(line):
+        weights["error"] = weights.get("error", 0) + 1 + (len(words) == 1)
     total = sum(weights.values())
     if total < EVIDENCE_LEAST or total < EVIDENCE_SHARE * max(len(words), dense):
         return None
     return max(weights, key=weights.get)
 
 
-def _line_cues(line: str) -> tuple[bool, str | None]:
-    text = html.unescape(line)
-    marks = len(MARKS.findall(text))
-    words = WORD.findall(MARKS.sub(" ", text) if marks else text)
+def _facts(line: str) -> tuple[bool, str | None, bool, int]:
+    text = html.unescape(line) if "&" in line else line
+    marks = len(MARKS.findall(text)) if _MAY_MARK.search(text) else 0
+    words = WORD.findall((MARKS.sub(" ", text) if marks else text).casefold())
+    dense = dense_letters(text)
+    size = max(len(words), dense // 2)
+    wording = _wording(line, words, dense)
     if marks and (not words or marks >= 2 and len(words) <= 2 * marks):
-        return False, "layout"
-    if _filler([w.casefold() for w in words]):
-        return False, "filler"
-    if kind := _evidence(text):
-        return False, kind
-    return _furniture(text, words), "mark" if marks else None
+        return False, "layout", wording, size
+    if _filler(words):
+        return False, "filler", wording, size
+    if kind := _evidence(text, words, dense):
+        return False, kind, wording, size
+    return _furniture(text, words), "mark" if marks else None, wording, size
 
 
-def cues(line: str) -> tuple[bool, str | None]:
-    """(furniture?, residue kind) of a line with single blanks.
+def facts(line: str) -> tuple[bool, str | None, bool, int]:
+    """(furniture?, residue kind, wording?, words) of a line with single blanks.
 
     The kind is 'layout', 'filler', 'error' or 'script' if the line for the most part is such residue, 'mark' if it only
-    holds an unfilled mark. Shares of words decide, so the length of a line makes no difference. Short lines come again
-    and again, so their answers are kept for a while.
+    holds an unfilled mark. Shares of words decide, so the length of a line makes no difference. Two letters of a script
+    without spaces count as a word. Short lines come again and again, so their answers are kept for a while.
     """
     if len(line) > CACHED_LENGTH:
-        return _line_cues(line)
-    if (known := _CUES.get(line)) is None:
-        known = _line_cues(line)
-        if len(_CUES) > 100_000:
-            _CUES.clear()
-        _CUES[line] = known
+        return _facts(line)
+    if (known := _FACTS.get(line)) is None:
+        known = _facts(line)
+        if len(_FACTS) > 100_000:
+            _FACTS.clear()
+        _FACTS[line] = known
     return known
 
 
+def cues(line: str) -> tuple[bool, str | None]:
+    """(furniture?, residue kind) of a line with single blanks."""
+    return facts(line)[:2]
+
+
 def stop_density(words: list[str]) -> float:
-    return sum(w.casefold() in FUNCTION or w.casefold().split("'")[0].split("’")[0] in FUNCTION for w in words) / max(1, len(words))
+    """Share of function words among case-folded words."""
+    return sum(w in FUNCTION or w.split("'")[0].split("’")[0] in FUNCTION for w in words) / max(1, len(words))
 
 
 def dense_letters(line: str) -> int:
     """Letters of scripts without spaces."""
-    return 0 if line.isascii() else len(HAN_KANA.findall(line)) + len(THAI.findall(line))
+    return 0 if line.isascii() or not DENSE.search(line) else len(HAN_KANA.findall(line)) + len(THAI.findall(line))
 
 
-def is_wording(line: str) -> bool:
+def _wording(line: str, words: list[str], dense: int) -> bool:
     """A sentence of running text, by length, stop-word density and its end."""
-    if (n := dense_letters(line)) >= 8:
-        return bool(ENDS_LIKE_PROSE.search(line.rstrip())) or n >= 30 or len(THAI.findall(line)) >= 15
-    words = WORD.findall(line)
+    if dense >= 8:
+        return ends_like_prose(line) or dense >= 30 or len(THAI.findall(line)) >= 15
     if len(words) < 6:
         return False
-    if not ENDS_LIKE_PROSE.search(line.rstrip()) and len(line) <= 160:
+    if len(line) <= 160 and not ends_like_prose(line):
         return False
     return len(line) >= 80 or stop_density(words) >= 0.15 or any(c > "ʯ" and c.isalpha() for c in line)

@@ -17,8 +17,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verbatrix.llm.arrow import map_batches
-from verbatrix.llm.page_lines import WORD, cues, dense_letters, is_wording, markup_lines, markup_title, plain
+from verbatrix.llm.arrow import map_batches, pa, pc
+from verbatrix.llm.page_lines import dense_letters, facts, markup_lines, markup_title, plain
 from verbatrix.operators.sizing import BROADCAST_BYTES, join_measured, materialise
 
 #: Labels of a line by itself.
@@ -44,17 +44,22 @@ def site_label(host: str) -> str:
 
 def template(line: str, label: str) -> str:
     """The template of a line with single blanks, on a site whose host has the letters of label."""
-    line = line.rstrip(".,:;!?… ") or line
-    low = _DIGITS.sub("0", line.casefold())
-    words, said = low.split(" "), _DIGITS.sub("0", line).split(" ")
-    if len(said) == len(words) and not line.isupper() and line != line.lower():
-        kept = [w if w == s else "*" for w, s in zip(words, said)]
-        if sum(w != "*" and w[0].isalpha() for w in kept) < 2:
-            kept[0] = words[0]
-            if len(kept) < 3:
-                kept = words
-        return _SLOTS.sub("*", " ".join(kept))
-    return _SLOTS.sub("*", " ".join("*" if len(x := w.strip(".,:;!?'’")) >= 4 and x in label else w for w in words))
+    said = _DIGITS.sub("0", line)
+    return _template(said, said.casefold(), label)
+
+
+def _template(said: str, low: str, label: str) -> str:
+    said = said.rstrip(".,:;!?… ") or said
+    low = low.rstrip(".,:;!?… ") or low
+    words = low.split(" ")
+    if said == low or said.isupper():
+        return _SLOTS.sub("*", " ".join(["*" if len(w) >= 4 and len(x := w.strip(".,:;!?'’")) >= 4 and x in label else w for w in words]))
+    kept = [w if w == s else "*" for w, s in zip(words, said.split(" "))]
+    if len(kept) - kept.count("*") < 6 and sum(w != "*" and w[0].isalpha() for w in kept) < 2:
+        kept[0] = words[0]
+        if len(kept) < 3:
+            kept = words
+    return _SLOTS.sub("*", " ".join(kept))
 
 
 def _is_headline(line: str, title: str) -> bool:
@@ -64,54 +69,56 @@ def _is_headline(line: str, title: str) -> bool:
     return not rest or rest[0] in "|·-–—:•" or len(line) >= 0.5 * len(title)
 
 
-def first_pass(line: str, title: str) -> tuple[int, int]:
-    """(label, residue kind) of a line by itself; title is case-folded, the kind an index of RESIDUE_KINDS or -1."""
-    furniture, kind = cues(line)
-    if kind not in (None, "mark"):
-        return RESIDUE, RESIDUE_KINDS.index(kind)
-    if title and _is_headline(line.casefold(), title):
-        return HEAD, -1
+def first_pass(line: str, title: str) -> tuple[int, int, int]:
+    """(label, residue kind, words) of a line by itself; title is case-folded, the kind an index of RESIDUE_KINDS or -1."""
+    furniture, kind, wording, size = facts(line)
+    if kind is not None and kind != "mark":
+        return RESIDUE, RESIDUE_KINDS.index(kind), size
+    if title and len(line) <= len(title) + 8 and _is_headline(line.casefold(), title):
+        return HEAD, -1, size
     if furniture:
-        return BAD, -1
-    if is_wording(line):
-        return GOOD, -1
-    if not dense_letters(line) and len(WORD.findall(line)) <= MENU_WORDS:
-        return MENU, -1
-    return SHORT, -1
-
-
-def size_of(line: str) -> int:
-    """Words of a line; two letters of a script without spaces count as one."""
-    return max(len(WORD.findall(line)), dense_letters(line) // 2)
+        return BAD, -1, size
+    if wording:
+        return GOOD, -1, size
+    return MENU if size <= MENU_WORDS and not dense_letters(line) else SHORT, -1, size
 
 
 def _h(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-def read_lines(text: str, markup: bool, title: str, host: str) -> dict[str, list]:
-    """Numbers, labels, residue kinds, sizes, line and template hashes of the lines that aren't blank, and where the headline is."""
+def read_lines(text: str, markup: bool, title: str, host: str, known: dict[str, tuple] | None = None) -> dict[str, list]:
+    """Numbers, labels, residue kinds, sizes, line and template hashes of the lines that aren't blank, where the headline is, and whether a story is there.
+
+    known may hold what the lines of another text of the same page gave.
+    """
     lines = [(i, x) for i, x in enumerate(markup_lines(text), 1)] if markup else [(i, p) for i, x in enumerate(text.split("\n"), 1) if (p := plain(x))]
     wanted = plain(title or (markup_title(text) if markup else "")).casefold()
     label = site_label(host)
-    out: dict[str, list] = {k: [] for k in ("no", "label", "kind", "size", "line", "template")}
-    head, story = -1, False
-    for k, (i, x) in enumerate(lines):
-        what, kind = first_pass(x, wanted)
-        if what == HEAD and head < 0:
-            head = k
-        story = story or what == GOOD and (len(x) >= STORY_CHARS or dense_letters(x) >= STORY_LETTERS)
-        for name, value in zip(out, (i, what, kind, size_of(x), _h(" ".join(_DIGITS.sub("0", x.casefold()).split(" "))), _h(template(x, label)))):
-            out[name].append(value)
-    return out | {"head": head, "story": story}
+    known = {} if known is None else known
+    got = []
+    for _, x in lines:
+        if (at := known.get(x)) is None:
+            said = _DIGITS.sub("0", x)
+            low = said.casefold()
+            at = known[x] = (*first_pass(x, wanted), _h(low), _h(_template(said, low, label)))
+        got.append(at)
+    out = dict(zip(("label", "kind", "size", "line", "template"), map(list, zip(*got)))) if got else {k: [] for k in ("label", "kind", "size", "line", "template")}
+    labels = out["label"]
+    head = labels.index(HEAD) if HEAD in labels else -1
+    story = any(what == GOOD and (len(x) >= STORY_CHARS or dense_letters(x) >= STORY_LETTERS) for what, (_, x) in zip(labels, lines))
+    return {"no": [i for i, _ in lines], **out, "head": head, "story": story}
 
 
 def _read(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
     names = ("page", "field", "host", "copy", "head", "story", "no", "label", "kind", "size", "line", "template")
     for b in batches:
         out: dict[str, list] = {k: [] for k in names}
+        last, known = None, {}
         for page, field, host, title, text in zip(b["page"], b["field"], b["host"], b["title"], b["text"]):
-            got = read_lines(text, field == "content", title or "", host or "")
+            if (page, host, title) != last:
+                last, known = (page, host, title), {}
+            got = read_lines(text, field == "content", title or "", host or "", known if title else {})
             for name, value in {"page": page, "field": field, "host": host or "", "copy": _h(text), **got}.items():
                 out[name].append(value)
         yield out
@@ -140,6 +147,10 @@ def link_templates(lines: DataFrame, common: int = COMMON) -> DataFrame:
     return by_template.filter((F.col("n") >= common) & (constant | above)).select("template")
 
 
+#: What is kept of a text's lines once their links are known.
+LINKED = ("page", "field", "host", "no", "label", "kind", "size", "line")
+
+
 def with_links(lines: DataFrame, links: DataFrame) -> DataFrame:
     """lines with `link`, an array of booleans over the lines: is the line's template link wording?
 
@@ -148,19 +159,21 @@ def with_links(lines: DataFrame, links: DataFrame) -> DataFrame:
     """
     links = materialise(links)
     if links.count() * 8 <= BROADCAST_BYTES // 4:
-        known = lines.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in links.collect()], dtype="int64")))
-        names = lines.columns
+        known = lines.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in links.collect()] or [0], dtype="int64")))
 
-        def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-            at = set(known.value.tolist())
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield {**{k: b[k] for k in names}, "link": [[t in at for t in x] for x in b["template"]]}
-
-        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema)
-        return map_batches(lines, run, f"{kinds}, link array<boolean>")
-    keyed = lines.withColumn("__text", F.monotonically_increasing_id())
-    keyed = materialise(keyed)
-    each = keyed.select("__text", F.posexplode("template").alias("at", "template"))
+                column = b.column("template")
+                flat = column.flatten().to_numpy(zero_copy_only=False)
+                at = np.minimum(np.searchsorted(known.value, flat), len(known.value) - 1)
+                offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))])
+                link = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(known.value[at] == flat))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in LINKED), link], names=[*LINKED, "link"])
+
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.select(*LINKED).schema)
+        return lines.select(*LINKED, "template").mapInArrow(run, f"{kinds}, link array<boolean>")
+    keyed = materialise(lines.select(F.monotonically_increasing_id().alias("text"), *LINKED, "template"))
+    each = keyed.select("text", F.posexplode("template").alias("at", "template"))
     marked = join_measured(each, links.withColumn("hit", F.lit(True)), ["template"], "left")
-    flags = marked.groupBy("__text").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("hit", F.lit(False)).alias("hit")))).alias("x"))
-    return keyed.join(flags.select("__text", F.col("x.hit").alias("link")), "__text").drop("__text")
+    flags = marked.groupBy("text").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("hit", F.lit(False)).alias("hit")))).alias("x"))
+    return keyed.join(flags.select("text", F.col("x.hit").alias("link")), "text").select(*LINKED, "link")
