@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from verbatrix.llm.leakage import leaked_spans, without_leaks
 from verbatrix.llm.main_content import main_lines, own_lines, with_main_content
-from verbatrix.llm.one_form import look_alikes, readable_form, with_forms
+from verbatrix.llm.one_form import look_alikes, look_classes, readable_form, with_forms
 from verbatrix.llm.packing import fill, pack, packed
 from verbatrix.llm.page_lines import cues, markup_lines
 from verbatrix.llm.repeated_lines import line_templates, repeated_lines, template_path, without_repeated_lines
@@ -105,6 +105,20 @@ def test_forms(spark):
     assert readable_form(df, "t").filter("id = 2").first()["text"] == "саfé file"
 
 
+def test_compatibility_forms(spark):
+    texts = ["x² ½ ① ℃ ㎏ 𝐀 Ⅷ … ｶﾞ ﷺ a−b", "x2 1⁄2 1 °C kg A VIII ... ガ صلى الله عليه وسلم a-b", "x² ½ ① °C kg A VIII ... ガ صلى الله عليه وسلم a-b"]
+    got = {r["id"]: r for r in with_forms(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "t").collect()}
+    assert {r["form"] for r in got.values()} == {texts[1]}
+    assert got[0]["look"] == got[2]["look"] != got[1]["look"]  # a superscript doesn't read like a figure
+
+
+def test_look_classes(spark):
+    texts = [(5, "ﬁle"), (3, "file"), (4, "file"), (9, "other"), (9, "other"), (7, None)]
+    forms = with_forms(spark.createDataFrame(texts, "id long, t string"), "t")
+    assert rows(look_classes(forms)) == [(3, 3, 1), (4, 3, 1), (5, 3, 2), (9, 9, 0)]
+    assert look_classes(forms.limit(0)).count() == 0
+
+
 # problem 5 and 6
 PAGE = "Menu\nHome | News | About\nBy Orm Staff\nOrm council keeps its archive\nThe council voted on Monday to keep the archive as it is, because the record matters.\nShare this story\nPolice log of Orm\nWhat changed in Orm since May\nEditors said that they would add a note to the story when the court has ruled.\nYou might also like: Orm\n© 2024 Orm. All rights reserved."
 

@@ -1,5 +1,7 @@
 """SQL twins of the training-data queries that SQL can express over the whole tables."""
 
+import unicodedata
+
 ORACLE: dict[str, str] = {}
 
 #: White space of any kind, as a character class.
@@ -26,16 +28,47 @@ FROM main_texts m LEFT JOIN done USING (page_id)
 """
 
 
-def _forms(table: str, column: str, field: str) -> str:
-    from verbatrix.llm.one_form import form_sql
+def _characters(distinct: bool) -> str:
+    """Rows (c, t) of a table from a character to what it reads like, each one stated once: what has no glyph, white space,
+    hyphens, Unicode's compatibility forms and letters of one glyph."""
+    rows = {}
+    for code in range(0xA0, 0x110000):
+        c, kind = chr(code), unicodedata.decomposition(chr(code)).split(" ")[0]
+        if kind.startswith("<") and (distinct or kind not in ("<super>", "<sub>", "<circle>", "<fraction>")):
+            rows[c] = unicodedata.normalize("NFKC", c)
+    blank = [0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
+    hidden = [0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0x2066, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF]
+    rows |= {chr(c): " " for c in blank} | {chr(c): "" for c in hidden} | {c: "-" for c in "‐‑‒⁃−﹣－"}
+    # Letters that share a glyph with a Latin one.
+    rows |= dict(zip("АВЕЅІЈКМНОРСТХҮаеорсухіѕјһԁԛԝёЁїЇΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳ", "ABESIJKMHOPCTXYaeopcyxisjhdqwëËïÏABEZHIKMNOPTYXovcj"))
+    quote = lambda x: x.replace("'", "''")
+    return ", ".join(f"('{quote(c)}', '{quote(t)}')" for c, t in rows.items() if c != t)
+
+
+_CHARACTERS = f"known AS (SELECT * FROM (VALUES {_characters(True)}) v(c, t)), alike AS (SELECT * FROM (VALUES {_characters(False)}) v(c, t))"
+
 
-    return f"SELECT '{field}' AS field, id, {column} AS raw, {form_sql(column)} AS look FROM {table} WHERE {column} IS NOT NULL"
+def _looks(table: str) -> str:
+    """SQL of (field, id, raw, t): every text character by character through a table, composed, and through it again."""
+    texts = "SELECT 'excerpt' AS field, id, excerpt AS raw FROM evidence_items WHERE excerpt IS NOT NULL UNION ALL SELECT 'quote', id, quote FROM voices WHERE quote IS NOT NULL"
+
+    def step(source: str) -> str:
+        return f"""SELECT field, id, raw, nfc_normalize(coalesce(string_agg(coalesce({table}.t, s.c), '' ORDER BY s.k), '')) AS text
+          FROM (SELECT field, id, raw, unnest(string_split(text, '')) AS c, unnest(range(length(text) + 1)) AS k FROM ({source})) s LEFT JOIN {table} USING (c) GROUP BY field, id, raw"""
+
+    return f"SELECT field, id, raw, trim(regexp_replace(text, ' +', ' ', 'g')) AS t FROM ({step(step(f'SELECT field, id, raw, raw AS text FROM ({texts})'))})"
 
 
 ORACLE["p3_found"] = f"""
-WITH forms AS ({_forms('evidence_items', 'excerpt', 'excerpt')} UNION ALL {_forms('voices', 'quote', 'quote')})
-SELECT DISTINCT a.field, a.id AS id_a, b.id AS id_b FROM forms a JOIN forms b ON a.field = b.field AND a.look = b.look AND a.raw <> b.raw AND a.id < b.id
+WITH {_CHARACTERS}, forms AS MATERIALIZED ({_looks('alike')})
+SELECT DISTINCT a.field, a.id AS id_a, b.id AS id_b FROM forms a JOIN forms b ON a.field = b.field AND a.t = b.t AND a.raw <> b.raw AND a.id < b.id
+"""
+ORACLE["p3_classes"] = f"""
+WITH {_CHARACTERS}, forms AS MATERIALIZED ({_looks('alike')})
+SELECT field, id, min(id) OVER look AS class_id, count(*) OVER look - count(*) OVER (PARTITION BY field, t, raw) AS links
+FROM forms WINDOW look AS (PARTITION BY field, t)
 """
+ORACLE["p3_forms"] = f"WITH {_CHARACTERS} SELECT field, id, t AS form FROM ({_looks('known')})"
 
 #: Windows of 12 words, as text, of a table's rows.
 _GRAMS = r"""

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from verbatrix.llm.leakage import leaked_spans, without_leaks
 from verbatrix.llm.main_content import main_lines
-from verbatrix.llm.one_form import look_alikes, with_forms
+from verbatrix.llm.one_form import look_alikes, look_classes, with_forms
 from verbatrix.llm.packing import fill, packed
 from verbatrix.llm.repeated_lines import line_templates, repeated_lines, without_repeated_lines
 from verbatrix.llm.residue_pages import page_texts, residue_texts
 from verbatrix.llm.school_links import school_links
 from verbatrix.llm.sentences import sentences
 from verbatrix.llm.text_quality import text_statistics
-from verbatrix.operators.sizing import spread
+from verbatrix.operators.sizing import materialise, spread
 from verbatrix.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,16 +51,24 @@ def p1_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     return without_repeated_lines(pages).select("page_id", "full_text", "lines_removed")
 
 
+def _looks(spark: SparkSession, folder: str) -> DataFrame:
+    parts = [with_forms(texts(spark, folder, name, "id", text), text).withColumn("field", F.lit(text)) for name, text in (("evidence_items", "excerpt"), ("voices", "quote"))]
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    excerpts = with_forms(texts(spark, folder, "evidence_items", "id", "excerpt"), "excerpt").withColumn("field", F.lit("excerpt"))
-    quotes = with_forms(texts(spark, folder, "voices", "id", "quote"), "quote").withColumn("field", F.lit("quote"))
-    return look_alikes(excerpts.select("field", "id", "raw", "look").unionByName(quotes.select("field", "id", "raw", "look")), "field")
+    return look_alikes(materialise(_looks(spark, folder).select("field", "id", "raw", "look")), "field")
+
+
+@query
+def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return look_classes(materialise(_looks(spark, folder).select("field", "id", "raw", "look")), "field")
 
 
 @query
 def p3_forms(spark: SparkSession, folder: str) -> DataFrame:
-    return with_forms(texts(spark, folder, "evidence_items", "id", "excerpt"), "excerpt").select("id", "form")
+    return _looks(spark, folder).select("field", "id", "form")
 
 
 @query
