@@ -260,10 +260,18 @@ def test_leaks_against_brute_force(spark):
     left = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item", F.lit(0))
     right = spark.createDataFrame(items, "item_id long, text string")
     assert expected and {(r["doc"], r["item"]) for r in leaked_spans(left, right).collect()} == expected
-    assert {(r["doc"], r["item"]) for r in leaked_spans(left, right, block_chars=500).collect()} == expected  # in blocks
+    assert {(r["doc"], r["item"]) for r in leaked_spans(left, right, block_chars=500).collect()} == expected  # by bitmap and join
     assert leaked_spans(left, right.limit(0)).count() == leaked_spans(left.limit(0), right).count() == 0
 
 
+def test_items_that_share_an_id_keep_their_own_texts(spark):
+    first, second = (" ".join(f"{x}{i}" for i in range(12)) for x in "ab")
+    docs = spark.createDataFrame([(1, first), (2, second), (3, f"{first} {second}")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, first), (7, second), (8, second)], "item_id long, text string")
+    for chars in (10**6, 10):
+        assert {(r["doc"], r["item"], r["start_char"]) for r in leaked_spans(docs, items, block_chars=chars).collect()} == {(1, 7, 0), (2, 7, 0), (2, 8, 0), (3, 7, 0), (3, 7, len(first) + 1), (3, 8, len(first) + 1)}
+
+
 def test_leaks_are_cut_out(spark):
     passage = "one two three four five six seven eight nine ten eleven twelve"
     docs = spark.createDataFrame([(1, f"Before. {passage.title()}! After {passage} end", "c"), (2, "clean", "c"), (3, None, "c")], "doc_id long, text string, leaked_items string")
