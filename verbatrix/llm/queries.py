@@ -15,7 +15,7 @@ from verbatrix.llm.repeated_lines import line_templates, repeated_lines, without
 from verbatrix.llm.residue_pages import page_texts, residue_texts
 from verbatrix.llm.school_links import school_links
 from verbatrix.llm.sentences import sentences
-from verbatrix.llm.text_quality import text_statistics
+from verbatrix.llm.text_quality import text_classes, text_statistics
 from verbatrix.operators.sizing import materialise, spread
 from verbatrix.sources.tables import table
 
@@ -85,8 +85,8 @@ def p9_cleaned(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    stats = text_statistics(texts(spark, folder, "documents", "doc_id", "text"))
-    return stats.filter(F.col("text_class") != "prose").select(F.col("id").alias("doc_id"), "text_class")
+    classes = text_classes(texts(spark, folder, "documents", "doc_id", "text"))
+    return classes.filter(F.col("text_class") != "prose").select(F.col("id").alias("doc_id"), "text_class")
 
 
 @query

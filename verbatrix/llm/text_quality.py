@@ -116,11 +116,25 @@ def char_shares(text: str) -> list[float]:
     return [classes.count(c) / max(1, len(text)) for c in _LETTERS]
 
 
-def language_of(text: str, counts: Counter) -> str:
-    """The language by script, else that of whose function words the text holds most; counts has its case-folded words."""
+def tokens_of(text: str) -> dict[str, list]:
+    """Case-folded words between blanks, without marks at their ends, with [how often, as first written]; marks alone count as ''."""
+    out: dict[str, list] = {}
+    for token, n in Counter(text.split()).items():
+        word = token.strip(EDGES)
+        if not word and len(token) <= 2:
+            continue
+        if (at := out.get(low := word.casefold())) is None:
+            out[low] = [n, word]
+        else:
+            at[0] += n
+    return out
+
+
+def language_of(text: str, tokens: dict[str, list]) -> str:
+    """The language by script, else that of whose function words the text holds most."""
     if not text.isascii() and (found := script_language(text)) and (found not in ("ja", "zh", "th") or len(HAN_KANA.findall(text)) + len(THAI.findall(text)) >= 8):
         return found
-    held = {x: sum(counts[w] for w in FUNCTION_SETS[x] if w in counts) for x in LATIN}
+    held = {x: sum(tokens[w][0] for w in FUNCTION_SETS[x] & tokens.keys()) for x in LATIN}
     return max(held, key=held.get)
 
 
@@ -146,10 +160,9 @@ def _word_kind(word: str) -> str:
     return known
 
 
-def word_shares(text: str, language: str) -> tuple[list[float], Counter, int]:
+def word_shares(text: str, language: str, tokens: dict[str, list]) -> tuple[list[float], Counter, int]:
     """Shares of the kinds of word, the counts of the language's function words, and all words counted."""
     kinds, held = dict.fromkeys(WORDS, 0), Counter()
-    tokens: dict[str, list] = {}
     common = FUNCTION_SETS[language]
     dense = language in ("ja", "zh", "th")
     if dense:
@@ -163,24 +176,20 @@ def word_shares(text: str, language: str) -> tuple[list[float], Counter, int]:
             held.update({c: n for c, n in found.items() if c in common})
             function = sum(held.values())
         kinds["function"], kinds["plain"] = min(letters, function), max(0, letters - function)
-        text = HAN_KANA.sub(" ", THAI.sub(" ", text))
-    for token, n in Counter(text.split()).items():
-        word = token.strip(EDGES)
-        low = word.casefold()
+        tokens = tokens_of(HAN_KANA.sub(" ", THAI.sub(" ", text)))
+    for low, (n, word) in tokens.items():
         if low in common:
             held[low] += n
             kinds["function"] += n
         elif low in SPACED_FUNCTION_WORDS:
             kinds["function"] += n
         elif word:
-            tokens.setdefault(low, [0, word])[0] += n
-        elif not dense and len(token) > 2:
+            if n > REPEATED:
+                kinds["repeated"] += n - REPEATED
+                n = REPEATED
+            kinds[_word_kind(word)] += n
+        elif not dense:
             kinds["symbols"] += n
-    for n, word in tokens.values():
-        if n > REPEATED:
-            kinds["repeated"] += n - REPEATED
-            n = REPEATED
-        kinds[_word_kind(word)] += n
     total = sum(kinds.values())
     return [x / max(1, total) for x in kinds.values()], held, total
 
@@ -256,15 +265,21 @@ class Shape:
     """The distributions of one text that isn't blank."""
 
     def __init__(self, text: str) -> None:
-        words = WORD.findall(text)
-        self.language = language_of(text, Counter(map(str.casefold, words)))
+        tokens = tokens_of(text)
+        self.language = language_of(text, tokens)
         self.chars, self.lines = char_shares(text), line_shares(text)
-        self.words, held, total = word_shares(text, self.language)
+        self.words, held, total = word_shares(text, self.language, tokens)
         inside = [held[w] / max(1, total) for w in RANKED[self.language][0]]
         inside.append(max(0.0, 1 - sum(inside)))
-        self.function = [x / sum(inside) for x in inside]
-        ends = [bool(ENDS_LIKE_PROSE.search(y)) for x in text.split("\n") if (y := x.strip())]
-        self.counts = (len(words), sum(map(len, words)) / len(words) if words else 0.0, self.chars[-1], sum(ends) / len(ends))
+        whole = sum(inside)
+        self.function = [x / whole for x in inside]
+
+
+def counts_of(text: str) -> tuple[int, float, float, float]:
+    """(words, mean word length, symbol ratio, share of lines ending in punctuation) of a text that isn't blank."""
+    words = WORD.findall(text)
+    ends = [bool(ENDS_LIKE_PROSE.search(y)) for x in text.split("\n") if (y := x.strip())]
+    return len(words), sum(map(len, words)) / len(words) if words else 0.0, text.translate(_CLASSES).count("x") / len(text), sum(ends) / len(ends)
 
 
 def nearest(shapes: list[Shape]) -> list[tuple[str, float, float, float]]:
@@ -296,16 +311,28 @@ def _statistics(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]
         shapes = [Shape(text) if text and text.strip() else None for text in b["text"]]
         found = iter(nearest([x for x in shapes if x]))
         out: dict[str, list] = {k: [] for k in _NAMES}
-        for key, shape in zip(b["id"], shapes):
+        for key, text, shape in zip(b["id"], b["text"], shapes):
             row = (key, 0, *[None] * 8)
             if shape:
                 name, near, chars, wording = next(found)
-                row = (key, *shape.counts, shape.words[0], chars, wording, near, name)
+                row = (key, *counts_of(text), shape.words[0], chars, wording, near, name)
             for column, value in zip(out, row):
                 out[column].append(value)
         yield out
 
 
+def _classes_alone(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+    for b in batches:
+        held = [(key, Shape(text)) for key, text in zip(b["id"], b["text"]) if text and text.strip()]
+        yield {"id": [key for key, _ in held], "text_class": [x[0] for x in nearest([shape for _, shape in held])]}
+
+
+def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text_class) of every row whose text isn't null or blank, as text_statistics gives it, without the counts."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return map_batches(rows, _classes_alone, f"id {rows.schema['id'].dataType.simpleString()}, text_class string")
+
+
 def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, words, mean_word_length, symbol_ratio, punctuated_lines, common_words, three divergences, text_class) of every row.
 
@@ -317,4 +344,4 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return map_batches(rows, _statistics, f"id {kind}, words bigint, mean_word_length double, symbol_ratio double, punctuated_lines double, common_words double, char_divergence double, word_divergence double, class_divergence double, text_class string")
 
 
-__all__ = ["divergence", "line_shares", "text_class", "text_statistics"]
+__all__ = ["divergence", "line_shares", "text_class", "text_classes", "text_statistics"]
