@@ -8,19 +8,21 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Wide (full-width) forms and typographic quotes, and what they are read as.
-WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "‘’‚′“”„″"
-NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + "''''\"\"\"\""
-
+from verbatrix.functions.unicode_forms import nfkc
 
 def compact_ws(t: Column) -> Column:
     """Runs of white space of any kind to one blank, ends trimmed; null gives ''."""
     return F.trim(F.regexp_replace(F.coalesce(t, F.lit("")), r"(?U)\s+", " "))
 
 
+def comparable(t: Column) -> Column:
+    """The rest of hash_form for a text already in the form NFKC."""
+    return F.trim(F.regexp_replace(F.translate(F.lower(t), "’‘", "''"), r"[^a-z0-9']+", " "))
+
+
 def hash_form(t: Column) -> Column:
-    """The comparable form: wide forms narrowed, quotes straightened, lower case, all but a-z 0-9 and ' to blanks, collapsed."""
-    return F.trim(F.regexp_replace(F.lower(F.translate(F.coalesce(t, F.lit("")), WIDE, NARROW)), r"[^a-z0-9']+", " "))
+    """The comparable form: NFKC, lower case, curled apostrophes straightened, all but a-z 0-9 and ' to blanks, collapsed; null gives ''."""
+    return comparable(nfkc(F.coalesce(t, F.lit(""))))
 
 
 def text_sha(t: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from verbatrix.functions import text as X
@@ -17,9 +19,29 @@ from verbatrix.sources.tables import table
 _WS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
+def _known_forms() -> str:
+    """A DuckDB map from characters to their compatibility form, where that holds letters, figures or an apostrophe of ASCII."""
+    rows = {}
+    for code in range(0x80, 0x110000):
+        c, t = chr(code), unicodedata.normalize("NFKC", chr(code))
+        if t != c and unicodedata.normalize("NFC", c) == c and any(x.isascii() and (x.isalnum() or x in "' ") for x in t):
+            rows[c] = t.replace("'", "''")
+    return "MAP {" + ", ".join(f"'{c}': '{t}'" for c, t in rows.items()) + "}"
+
+
+_FORMS = _known_forms()
+
+
+def _nfkc(c: str) -> str:
+    return f"CASE WHEN regexp_matches({c}, '[^\\x00-\\x7f]') THEN nfc_normalize(array_to_string(list_transform(string_split(nfc_normalize({c}), ''), lambda x: CASE WHEN x < chr(128) THEN x ELSE coalesce({_FORMS}[x], x) END), '')) ELSE {c} END"
+
+
+def _comparable(c: str) -> str:
+    return f"trim(regexp_replace(translate(lower({c}), '’‘', ''''''), '[^a-z0-9'']+', ' ', 'g'))"
+
+
 def _hash_form(c: str) -> str:
-    quoted = lambda t: t.replace("'", "''")
-    return f"trim(regexp_replace(lower(translate(coalesce({c}, ''), '{quoted(X.WIDE)}', '{quoted(X.NARROW)}')), '[^a-z0-9'']+', ' ', 'g'))"
+    return _comparable(f"({_nfkc(f'coalesce({c}, {chr(39) * 2})')})")
 
 
 def _near_keys(columns: str, table_name: str, text: str) -> str:
@@ -100,7 +122,7 @@ def similarity_weighted(spark, d):
 
 
 @query("""WITH u AS (SELECT page_id, trim(requested_url) AS u FROM fetch_results), p AS (SELECT page_id, lower(regexp_extract(u, '^([A-Za-z]+)://', 1)) AS scheme, regexp_replace(lower(regexp_extract(u, '^[A-Za-z]+://([^/?#]*)', 1)), '^.*@', '') AS a,
-regexp_replace(regexp_replace(regexp_extract(u, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/{2,}', '/', 'g'), '/$', '') AS path, array_to_string(list_filter(string_split(regexp_extract(u, '^[^?#]*\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT list_contains(['utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'fbclid', 'gclid', 'mc_cid', 'mc_eid', 'ref', 'ref_src'], lower(split_part(x, '=', 1)))), '&') AS q FROM u)
+regexp_replace(regexp_replace(regexp_extract(u, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/{2,}', '/', 'g'), '/$', '') AS path, array_to_string(list_filter(string_split(regexp_extract(u, '^[^?#]*\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT list_contains(['utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'fbclid', 'gclid', 'mc_cid', 'mc_eid', 'ref', 'source'], lower(split_part(x, '=', 1)))), '&') AS q FROM u)
 SELECT key, min(page_id) AS first_page, count(*) AS fetches FROM (SELECT page_id, CASE WHEN scheme IN ('http', 'https') AND a <> '' THEN scheme || '://' || CASE WHEN scheme = 'http' THEN regexp_replace(a, ':80$', '') ELSE regexp_replace(a, ':443$', '') END || path || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS key FROM p) GROUP BY 1""")
 def url_identity_dedupe(spark, d):
     return table(spark, d, "fetch_results").groupBy(U.url_identity(F.col("requested_url")).alias("key")).agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("fetches"))
