@@ -54,6 +54,33 @@ def redact(text: Column, keep: Column, placeholder: str = "[name]", common: set[
     return run(text, keep)
 
 
+def url_without_names(url: Column, names: Column, withheld: str = "[withheld: address carries a name]") -> Column:
+    """The URL, or a mark where its path holds a word of one of the redacted names as a token of its own; null and other schemes stay."""
+    path = F.lower(F.regexp_replace(url, r"^https?://[^/]+", ""))
+    tokens = F.split(path, "[^a-z]+")
+    parts = F.filter(F.flatten(F.transform(names, lambda n: F.split(F.lower(n), "[^a-z]+"))), lambda w: F.length(w) >= 2)
+    held = F.coalesce(url.rlike("^https?://") & F.arrays_overlap(tokens, parts), F.lit(False))
+    return F.when(held, F.lit(withheld)).otherwise(url)
+
+
+def redact_rows(df: DataFrame, texts: list[str], urls: list[str], keep: Column, drop: list[str] = (), common: set[str] | None = None, placeholder: str = "[name]") -> DataFrame:
+    """df with the names in its text columns replaced, then the URLs of a row that carry one of that row's redacted names, and the columns `drop` marked.
+
+    Texts come first, so that a name redacted in any of a row's texts is known when its URLs are looked at. Kept names stay
+    in both. Nulls stay null.
+    """
+    ordinary = F.array(*(F.lit(w) for w in sorted(common or ()))) if common else F.array().cast("array<string>")
+    kept = F.transform(F.coalesce(keep, F.array().cast("array<string>")), F.lower)
+    found = F.flatten(F.array(*(F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(f"({NAME})".replace(r"\w", r"\p{L}")), 1) for c in texts)))
+    named = F.filter(F.array_distinct(found), lambda n: ~F.array_contains(kept, F.lower(n)))
+    words = F.transform(named, lambda n: F.array_join(F.filter(F.split(n, " "), lambda w: ~F.array_contains(ordinary, F.lower(w))), " "))
+    out = df.withColumn("__named", words).withColumn("__kept", keep)
+    out = out.withColumns({c: redact(F.col(c), F.col("__kept"), placeholder, common) for c in texts})
+    out = out.withColumns({c: url_without_names(F.col(c), F.col("__named")) for c in urls})
+    out = out.withColumns({c: F.when(F.length(F.col(c)) > 0, F.lit("[withheld in shared copy]")).otherwise(F.col(c)) for c in drop})
+    return out.drop("__named", "__kept")
+
+
 def withhold(df: DataFrame, url: str, pattern: str, party: str) -> DataFrame:
     """df without the rows whose URL matches and without all rows of a party that only stands in such rows; nulls never match."""
     hit = F.coalesce(F.col(url).rlike(pattern), F.lit(False))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from verbatrix.functions.text import near_duplicate_key, tags_of
+from verbatrix.functions.text import compact_ws, near_duplicate_key, tags_of
 from verbatrix.operators.sizing import materialise
 
 #: A gap behind a sentence mark and before a capital or figure: an expression-only split (the llm package has the full one).
@@ -19,6 +19,32 @@ def light_sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col), F.posexplode(parts).alias("pos", "sentence"))
 
 
+#: A gap behind a sentence mark, closers between, and before an opening; and abbreviations that a gap behind doesn't end.
+BOUNDARY = r"(?<=[.!?][\"'”’)\]]{0,3})\s+(?=[\"'“‘(\[]?[A-Z0-9])"
+ABBREVIATION = r"(?i)\b(?:Mr|Mrs|Ms|Dr|Prof|Sr|Jr|St|Inc|Co|Corp|Ltd|vs|No|Gov|Sen|Rep|Gen|Lt|Col|Sgt|Capt|U\.S|U\.K|a\.m|p\.m|e\.g|i\.e|etc|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)\.$"
+
+
+def bounded_sentences(df: DataFrame, id_col: str, text_col: str, longest: int = 700) -> DataFrame:
+    """(id, pos, sentence): split at gaps, joined again behind abbreviations, those above `longest` cut at list marks and then at blanks.
+
+    All of it is expression; white space is made single first; no sentence is above `longest` and no text is lost but blanks
+    and list marks at cuts.
+    """
+    parts = F.split(compact_ws(F.col(text_col)), BOUNDARY)
+    start = F.array().cast("array<string>")
+
+    def join(acc: Column, p: Column) -> Column:
+        last = F.element_at(acc, -1)
+        return F.when((F.size(acc) > 0) & last.rlike(ABBREVIATION), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat_ws(" ", last, p)))).otherwise(F.concat(acc, F.array(p)))
+
+    # an element before the first, so that the last one always has an index
+    joined = F.filter(F.aggregate(parts, F.concat(start, F.array(F.lit(""))), join), lambda s: s != "")
+    wrapped = lambda c: F.regexp_extract_all(c, F.lit(rf"(?s)(.{{1,{longest}}})(?:\s|$)|(.{{{longest}}})"), 0)
+    cut = F.flatten(F.transform(joined, lambda s: F.when(F.length(s) <= longest, F.array(s)).otherwise(F.flatten(F.transform(F.split(s, r"\s*[;•·|]\s+"), lambda c: F.when(F.length(c) <= longest, F.array(c)).otherwise(wrapped(c)))))))
+    clean = F.filter(F.transform(cut, F.trim), lambda s: s != "")
+    return df.select(F.col(id_col), F.posexplode(clean).alias("pos", "sentence"))
+
+
 def with_context(df: DataFrame, key: str, order: str, text: str, before: int = 1, after: int = 1) -> DataFrame:
     """df with the neighbouring texts of the same key joined before and behind."""
     w = W.partitionBy(key).orderBy(order)

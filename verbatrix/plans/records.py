@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from verbatrix.functions import pages as P
 from verbatrix.functions import text as X
 from verbatrix.functions.stats import ratio
-from verbatrix.operators import frontier, names
+from verbatrix.operators import frontier, html, names, redaction
 from verbatrix.operators import predicates as Q
+from verbatrix.operators.sizing import spread
+from verbatrix.operators.statements import bounded_sentences
 from verbatrix.plans.registry import query
 from verbatrix.plans.texts import _comparable, _hash_form, _nfkc
 from verbatrix.sources.tables import table
@@ -321,3 +323,24 @@ def merged_with_provenance(spark, d):
 def verdict_cache_keys(spark, d):
     return table(spark, d, "evidence_items").select("id", F.sha2(F.concat_ws("|", F.lit("vendor"), F.lit("model-1"), F.lit("v2"), F.coalesce("excerpt_sha256", F.lit(""))), 256).alias("key"))
 
+
+
+@query()
+def sentences_bounded(spark, d):
+    """Sentences of at most 700 characters, a row each; small fixtures test the split."""
+    return bounded_sentences(table(spark, d, "main_texts"), "page_id", "main_text")
+
+
+@query()
+def markup_reading(spark, d):
+    """How much reading matter the markup holds, and whether its title is in it."""
+    rows = html.with_main_text(spread(table(spark, d, "fetch_results").select("page_id", "content")), "content")
+    return rows.select("page_id", F.length("reading").alias("characters"), F.contains("reading", html.native_title(F.col("content"))).alias("titled"))
+
+
+@query()
+def redacted_rows(spark, d):
+    """Quotations with names out of the text and out of the addresses of their pages, the speaker's own kept."""
+    pages = table(spark, d, "main_texts").select("page_id", "url", "title")
+    rows = table(spark, d, "voices").select("id", "page_id", "quote", "person_name").join(pages, "page_id", "left").withColumn("keep", F.array("person_name"))
+    return redaction.redact_rows(rows, ["quote", "title"], ["url"], F.col("keep")).select("id", "quote", "title", "url")
