@@ -88,7 +88,7 @@ def test_names_and_solver():
     assert edit_distance("hanleck", "hanelck") == 1 and edit_distance("abc", "xyz", 1) == 2
     import numpy as np
 
-    m, _ = _solve(np.array([6.0, 6.0]), np.array([1.0, 1.0]), -1, 0.0)
+    m, _ = _solve(np.array([6.0, 6.0]), np.array([1.0, 1.0]), np.array([False, False]), np.zeros(2))
     assert m.sum() == pytest.approx(1.0, abs=1e-6) and m[0] == pytest.approx(m[1])
 
 

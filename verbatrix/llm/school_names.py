@@ -6,8 +6,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
-# Mastheads of student papers and words around names in titles.
-MASTHEADS = frozenset("torch courier beacon gazette spectator observer dispatch clarion collegian signal sentinel lantern quill chronicle herald tribune times journal review bugle messenger reporter voice ledger mirror banner echo standard bulletin examiner independent".split())
+# Words around names in titles; names of papers are no list but learnt from the tables (`school_links`).
 AROUND = frozenset(
     "the at of for and by in on a an to is our your with from student students newspaper paper news newsroom campus press releases release media home page homepage about us independent voice serving online official site website welcome magazine weekly daily publication publications edition archive main branch est since updated run based coverage sign see more local".split()
 )
@@ -19,6 +18,8 @@ NOT_A_SCHOOL = re.compile(
 KINDS = ("tech", "poly", "cc", "am", "uof", "state", "saint", "college", "univ")
 #: How a kind is written in host labels, before or behind the core.
 LABEL_WORDS = {"tech": ("tech", "it"), "poly": ("poly", "polytechnic"), "cc": ("cc", "communitycollege"), "am": ("am", "aandm"), "uof": ("u", "univ", "university"), "state": ("state", "stateuniversity"), "saint": ("st", "saint"), "college": ("college",), "univ": ("u", "univ", "university")}
+SCHOOL_WORDS = frozenset("university univ u univer uni college coll state institute inst tech technology polytechnic poly community comm cc aandm saint st school".split())
+CLOSING_WORDS = frozenset("university univ univer uni college coll tech technology polytechnic poly cc".split())
 _UNIVERSITY = frozenset(("university", "univ", "u", "univer", "uni"))
 
 
@@ -30,15 +31,25 @@ def tokens_of(text: str) -> list[str]:
 
 
 @lru_cache(maxsize=65536)
-def parse_name(text: str) -> tuple[str, str]:
-    """(core, kind) of a school's name inside a text; the core is its own words joined, '' if there are none."""
+def parse_name(text: str, around: frozenset[str] = frozenset()) -> tuple[str, str]:
+    """(core, kind) of a school's name inside a text; the core is its own words joined, '' if there are none.
+
+    around: words that stand around schools' names, besides AROUND. Words in front of an of or at that no word of a kind
+    opens (Torch of ..), and words behind a word of a kind that ends a name (.. College Torch), are no part of it either.
+    """
     t = tokens_of(text)
     kind, drop = "", set()
     n = len(t)
+    outer = AROUND | around
 
     def at(i: int) -> str:
         return t[i] if 0 <= i < n else ""
 
+    for i, w in enumerate(t):
+        if w in ("of", "at", "from"):
+            if i and not any(x in SCHOOL_WORDS for x in t[:i]) and any(x in SCHOOL_WORDS for x in t[i:]):
+                drop |= set(range(i))
+            break
     for i, w in enumerate(t):
         if w in ("institute", "inst") and at(i + 1) == "of" and at(i + 2) in ("technology", "tech"):
             kind, drop = kind or "tech", drop | {i, i + 1, i + 2}
@@ -55,7 +66,7 @@ def parse_name(text: str) -> tuple[str, str]:
     for i, w in enumerate(t):
         if i in drop:
             continue
-        if w == "state" or w == "st" and i and (at(i + 1) in _UNIVERSITY or at(i + 1) == "" or at(i + 1) in MASTHEADS | AROUND) and at(i - 1) not in AROUND | MASTHEADS:
+        if w == "state" or w == "st" and i and (at(i + 1) in _UNIVERSITY or at(i + 1) == "" or at(i + 1) in outer) and at(i - 1) not in outer:
             kind, drop = kind or "state", drop | {i}
         elif w in ("saint", "st") and at(i + 1):
             kind, drop = kind or "saint", drop | {i}
@@ -68,7 +79,11 @@ def parse_name(text: str) -> tuple[str, str]:
             kind, drop = kind or "college", drop | {i}
         elif w in _UNIVERSITY:
             kind, drop = kind or "univ", drop | {i}
-    core = [w for i, w in enumerate(t) if i not in drop and w not in AROUND and w not in MASTHEADS and not w.isdigit()]
+    closing = [i for i, w in enumerate(t) if i in drop and w in CLOSING_WORDS]
+    # behind a word that closes a name, if words of the name stand in front of it
+    if closing and kind != "uof" and any(i not in drop and w not in outer for i, w in enumerate(t[: closing[-1]])):
+        drop |= set(range(closing[-1] + 1, n))
+    core = [w for i, w in enumerate(t) if i not in drop and w not in outer and not w.isdigit()]
     return "".join(core), kind
 
 
@@ -90,11 +105,11 @@ def school_labels(core: str, kind: str) -> list[str]:
     return [x for w in LABEL_WORDS.get(kind, ()) for x in (w + core, core + w)]
 
 
-def label_stems(label: str) -> list[str]:
+def label_stems(label: str, around: frozenset[str] = frozenset()) -> list[str]:
     """A squeezed host label and what is left of it without the words papers add to a school's label."""
     whole = squeezed(label)
     out = [whole]
-    for w in ("news", "online", "media", "press", "paper", "student", "studentmedia", "studentnews", "edu", "campus", "daily", *MASTHEADS):
+    for w in {"news", "online", "media", "press", "paper", "student", "studentmedia", "studentnews", "edu", "campus", "daily", *around}:
         if whole.endswith(w) and len(whole) > len(w) + 3:
             out.append(whole[: -len(w)])
         if whole.startswith(w) and len(whole) > len(w) + 3:
