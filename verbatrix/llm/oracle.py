@@ -70,6 +70,20 @@ FROM forms WINDOW look AS (PARTITION BY field, t)
 """
 ORACLE["p3_forms"] = f"WITH {_CHARACTERS} SELECT field, id, t AS form FROM ({_looks('known')})"
 
+ORACLE["p1_templates"] = f"""
+WITH {_LINES},
+t AS (SELECT page_id, site, n, string_split(n, ' ') AS w FROM norm WHERE n <> ''),
+path AS (SELECT *, len(w) AS k, CASE WHEN len(w) <= 8 THEN w ELSE list_concat(w[1:4], w[-4:]) END AS p FROM t),
+node AS (SELECT site, k, i, p[i] AS token FROM (SELECT site, k, p, unnest(range(1, len(p) + 1)) AS i FROM path)),
+common AS (SELECT site, k, i, token, true AS c FROM node GROUP BY site, k, i, token HAVING count(*) >= 10),
+each AS (SELECT DISTINCT page_id, site, n, k, p FROM path),
+marked AS (SELECT e.page_id, e.site, e.n, e.k, e.p, list(coalesce(c, false) ORDER BY e.i) AS f
+  FROM (SELECT page_id, site, n, k, p, unnest(range(1, len(p) + 1)) AS i FROM each) e LEFT JOIN common x ON x.site = e.site AND x.k = e.k AND x.i = e.i AND x.token = e.p[e.i] GROUP BY ALL),
+shown AS (SELECT page_id, site, k, f, list_transform(p, lambda x, i: CASE WHEN f[i] THEN x ELSE '<*>' END) AS q, n FROM marked WHERE NOT list_contains(f, false) OR len(list_filter(f, lambda x: x)) >= greatest(2, 0.5 * len(f))),
+named AS (SELECT page_id, site, k || chr(9) || CASE WHEN NOT list_contains(f, false) THEN n WHEN k <= 8 THEN array_to_string(q, ' ') ELSE array_to_string(list_concat(q[1:4], ['…'], q[5:8]), ' ') END AS template FROM shown)
+SELECT site AS publication_id, template, count(DISTINCT page_id) AS pages FROM named GROUP BY 1, 2 HAVING count(DISTINCT page_id) >= 10
+"""
+
 #: Windows of 12 words, as text, of a table's rows.
 _GRAMS = r"""
 SELECT {id} AS id, array_to_string(w[k : k + 11], ' ') AS g FROM (SELECT {id}, w, unnest(range(1, len(w) - 10)) AS k FROM (

@@ -56,6 +56,13 @@ def _looks(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+@query
+def p1_template_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    """As p1_cleaned, and freed of the lines of templates with slots."""
+    pages = texts(spark, folder, "main_texts", "page_id", "publication_id", "full_text")
+    return without_repeated_lines(pages, slots=True).select("page_id", "full_text", "lines_removed")
+
+
 @query
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return look_alikes(materialise(_looks(spark, folder).select("field", "id", "raw", "look")), "field")
