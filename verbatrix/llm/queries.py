@@ -14,7 +14,7 @@ from verbatrix.llm.packing import fill, packed
 from verbatrix.llm.repeated_lines import line_templates, repeated_lines, without_repeated_lines
 from verbatrix.llm.residue_pages import page_texts, residue_texts
 from verbatrix.llm.school_links import school_links
-from verbatrix.llm.sentences import sentences
+from verbatrix.llm.sentences import learn_words, sentences
 from verbatrix.llm.text_quality import text_classes, text_statistics
 from verbatrix.operators.sizing import materialise, spread
 from verbatrix.sources.tables import table
@@ -127,7 +127,9 @@ def p6_kinds(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     parts = [("statement", "statements", "id", "sentence"), ("main_text", "main_texts", "page_id", "main_text")]
-    found = [sentences(texts(spark, folder, name, key, text), key, text).select(F.lit(field).alias("field"), F.col("id").alias("rec_id"), "start_char", "end_char") for field, name, key, text in parts]
+    read = [(field, texts(spark, folder, name, key, text), key, text) for field, name, key, text in parts]
+    learnt = learn_words(read[0][1].select(F.col("sentence").alias("text")).unionByName(read[1][1].select(F.col("main_text").alias("text"))))
+    found = [sentences(rows, key, text, learnt).select(F.lit(field).alias("field"), F.col("id").alias("rec_id"), "start_char", "end_char") for field, rows, key, text in read]
     return found[0].unionByName(found[1])
 
 
