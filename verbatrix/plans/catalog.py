@@ -5,7 +5,6 @@ from __future__ import annotations
 from verbatrix.plans import records, relational, streams, texts, timestamps, versions
 from verbatrix.plans.registry import ORACLE, QUERIES
 
-QUERIES["p4_found"] = timestamps.p4_found
 FLAGSHIP = relational.cohort_metrics
 
-__all__ = ["FLAGSHIP", "ORACLE", "QUERIES", "records", "streams", "texts", "versions"]
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES", "records", "streams", "texts", "timestamps", "versions"]
