@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verbatrix.functions.urls import host_suffixes
-from verbatrix.operators.sizing import materialise
+from verbatrix.operators.sizing import join_measured, materialise
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -28,6 +28,19 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -
     return ranked(df, keys, order).filter(F.col("rank") <= k)
 
 
+def flag_top_k(df: DataFrame, id_col: str, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "kept") -> DataFrame:
+    """df with a flag of the k first rows of each key: only those are ranked, the flag comes back by id, so no key's rows all meet in one sort."""
+    first = top_k(df, keys, order, k).select(id_col, F.lit(True).alias(name))
+    return join_measured(df, first, [id_col], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
+def with_group_stats(df: DataFrame, keys: Sequence[str], **stats: Column) -> DataFrame:
+    """df with aggregates of each row's group beside it, nulls in keys equal to each other; groups are pre-aggregated, never gathered."""
+    groups = df.groupBy(*keys).agg(*(c.alias(n) for n, c in stats.items())).withColumnsRenamed({k: f"__g_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__g_{k}")) for k in keys]
+    return df.join(groups, on).drop(*(f"__g_{k}" for k in keys))
+
+
 def best_with_margin(df: DataFrame, key: str, item: str, score: str, margin: float) -> DataFrame:
     """(key, item, score, runner_up, ambiguous): the best item of each key and if the next best is within `margin`."""
     two = top_k(df, [key], [F.col(score).desc(), F.col(item)], 2)
@@ -79,9 +92,9 @@ def insert_ignore(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFr
 
 def merge_survivors(df: DataFrame, group: str, id_col: str) -> DataFrame:
     """df with `survivor` (lowest id of the group), `active` and `merged_into`; rows without a group stay on their own."""
-    low = F.min(id_col).over(W.partitionBy(group))
-    survivor = F.when(F.col(group).isNull(), F.col(id_col)).otherwise(low)
-    return df.withColumn("survivor", survivor).withColumn("active", F.col("survivor") == F.col(id_col)).withColumn("merged_into", F.when(~F.col("active"), F.col("survivor")))
+    low = df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.min(id_col).alias("survivor"))
+    # rows without a group find no partner in the join and are not gathered
+    return df.join(low, group, "left").select(*df.columns, F.coalesce("survivor", id_col).alias("survivor")).withColumn("active", F.col("survivor") == F.col(id_col)).withColumn("merged_into", F.when(~F.col("active"), F.col("survivor")))
 
 
 def set_changes(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from verbatrix.session import ensure_checkpoint_dir
 
-#: A side is broadcast only if its measured rows times its estimated row width stay below this.
+#: A side is broadcast only if its measured bytes stay below this.
 BROADCAST_BYTES = 32 << 20
 
 
@@ -17,21 +17,23 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def row_width(df: DataFrame) -> int:
-    """Bytes a row of df is taken to need in a broadcast table (fixed widths; 48 for a string, 96 for anything nested)."""
-    sizes = {"bigint": 8, "int": 4, "double": 8, "boolean": 1, "timestamp": 8, "timestamp_ntz": 8, "date": 4, "string": 48, "binary": 48}
-    return 24 + sum(sizes.get(kind, 96) for _, kind in df.dtypes)
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes that df needs in a broadcast table: fixed widths, and the real lengths of all texts and nested values, in one aggregate."""
+    fixed = {"bigint": 8, "int": 4, "smallint": 2, "tinyint": 1, "double": 8, "float": 4, "boolean": 1, "timestamp": 8, "timestamp_ntz": 8, "date": 4}
+    width = 24 + sum(fixed.get(kind, 8) for _, kind in df.dtypes)
+    long = [F.octet_length(f"`{c}`") if kind in ("string", "binary") else F.octet_length(F.to_json(F.struct(f"`{c}`"))) for c, kind in df.dtypes if kind not in fixed]
+    total = sum((F.coalesce(x, F.lit(0)) for x in long), F.lit(width)).cast("bigint")
+    return df.agg(F.coalesce(F.sum(total), F.lit(0))).first()[0]
 
 
 def join_measured(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_BYTES) -> DataFrame:
     """left joined with a right side whose size is measured first.
 
-    right is materialised and counted; it is broadcast if rows x width stay below `limit`, otherwise the join shuffles
+    right is materialised and its bytes are summed; it is broadcast if they stay below `limit`, otherwise the join shuffles
     both sides on the keys and AQE splits skewed partitions. The result is the same either way.
     """
     right = materialise(right)
-    small = right.count() * row_width(right) <= limit
-    return left.join(F.broadcast(right) if small else right, on, how)
+    return left.join(F.broadcast(right) if measured_bytes(right) <= limit else right, on, how)
 
 
 def spread(scan: DataFrame) -> DataFrame:

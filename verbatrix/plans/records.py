@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from verbatrix.functions import pages as P
 from verbatrix.functions import text as X
 from verbatrix.functions.stats import ratio
-from verbatrix.operators import frontier, html, names, redaction
+from verbatrix.operators import frontier, html, names, redaction, runs
 from verbatrix.operators import predicates as Q
 from verbatrix.operators.sizing import spread
 from verbatrix.operators.statements import bounded_sentences
@@ -344,3 +344,45 @@ def redacted_rows(spark, d):
     pages = table(spark, d, "main_texts").select("page_id", "url", "title")
     rows = table(spark, d, "voices").select("id", "page_id", "quote", "person_name").join(pages, "page_id", "left").withColumn("keep", F.array("person_name"))
     return redaction.redact_rows(rows, ["quote", "title"], ["url"], F.col("keep")).select("id", "quote", "title", "url")
+
+
+@query("SELECT user_id, last AS last_seen, date_diff('second', last, TIMESTAMP '2024-01-31 00:00:00') < 86400 AS active FROM (SELECT user_id, max(ts) AS last FROM events GROUP BY 1)")
+def active_users(spark, d):
+    beats = table(spark, d, "events").select("user_id", "ts")
+    return runs.active_runs(beats, "user_id", "ts", F.to_timestamp_ntz(F.lit("2024-01-31 00:00:00")), 86_400).withColumnRenamed("last", "last_seen")
+
+
+@query("""WITH f AS (SELECT split_part(requested_url, '/', 3) AS host, fetched_at AS ts, coalesce(status_code BETWEEN 200 AND 299, false) AS ok FROM fetch_results WHERE fetched_at IS NOT NULL), g AS (SELECT host, max(ts) AS good FROM f WHERE ok GROUP BY 1),
+b AS (SELECT f.host, count(*) AS failures, max(ts) AS last FROM f LEFT JOIN g USING (host) WHERE NOT ok AND (good IS NULL OR ts > good) GROUP BY 1)
+SELECT host, coalesce(failures, 0) AS failures, CASE WHEN coalesce(failures, 0) < 2 THEN 'closed' WHEN date_diff('second', last, TIMESTAMP '2025-01-02 09:00:00') < 2400 THEN 'open' ELSE 'half_open' END AS state FROM (SELECT DISTINCT host FROM f WHERE host IS NOT NULL) LEFT JOIN b USING (host)""")
+def host_circuits(spark, d):
+    rows = table(spark, d, "fetch_results").select(F.split_part("requested_url", F.lit("/"), F.lit(3)).alias("host"), "fetched_at", "status_code")
+    return runs.circuits(rows, "host", "fetched_at", F.col("status_code").between(200, 299), F.to_timestamp_ntz(F.lit("2025-01-02 09:00:00")), 2, 2400)
+
+
+@query("SELECT page_id, floor((row_number() OVER (PARTITION BY split_part(requested_url, '/', 3) ORDER BY page_id) - 1) / 2.0) * 1.5 AS start FROM fetch_results")
+def paced_requests(spark, d):
+    rows = table(spark, d, "fetch_results").select("page_id", F.split_part("requested_url", F.lit("/"), F.lit(3)).alias("host"))
+    return runs.paced(rows, "host", [F.asc("page_id")], 1.5).select("page_id", F.col("start").cast("double").alias("start"))
+
+
+@query("""WITH v AS (SELECT requested_url, page_id, status_code, count(*) OVER w AS versions, row_number() OVER (w ORDER BY fetched_at, page_id) AS a, row_number() OVER (w ORDER BY fetched_at DESC, page_id DESC) AS z FROM fetch_results WHERE requested_url IS NOT NULL WINDOW w AS (PARTITION BY requested_url))
+SELECT requested_url, versions, max(page_id) FILTER (WHERE a = 1) AS first_page, max(page_id) FILTER (WHERE z = 1) AS last_page, max(status_code) FILTER (WHERE a = 1) IS DISTINCT FROM max(status_code) FILTER (WHERE z = 1) AS changed FROM v WHERE versions > 1 GROUP BY 1, 2""")
+def version_pairs(spark, d):
+    """The earliest and the latest fetch of every address that was fetched again."""
+    rows = table(spark, d, "fetch_results").select("requested_url", "page_id", "status_code", "fetched_at")
+    pairs = runs.first_and_last(rows, "requested_url", ["fetched_at", "page_id"]).filter("versions > 1")
+    return pairs.select("requested_url", "versions", F.col("first.page_id").alias("first_page"), F.col("last.page_id").alias("last_page"), (~F.col("first.status_code").eqNullSafe(F.col("last.status_code"))).alias("changed"))
+
+
+@query("SELECT excerpt_sha256, id, created_at FROM evidence_items WHERE excerpt_sha256 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY excerpt_sha256 ORDER BY created_at, id) = 1")
+def first_seen_excerpts(spark, d):
+    rows = table(spark, d, "evidence_items").filter("excerpt_sha256 IS NOT NULL").select("excerpt_sha256", "id", "created_at")
+    return runs.first_seen(rows, ["excerpt_sha256"], ["created_at", "id"])
+
+
+@query("SELECT run_id, CAST(count(*) FILTER (WHERE ai_gate = 'accepted') AS BIGINT) AS done, CAST(count(*) FILTER (WHERE ai_gate = 'rejected') AS BIGINT) AS failed, CAST(greatest(0, 10000 - count(*) FILTER (WHERE ai_gate = 'accepted') - count(*) FILTER (WHERE ai_gate = 'rejected')) AS BIGINT) AS remaining FROM evidence_items GROUP BY 1")
+def run_progress(spark, d):
+    status = F.when(F.col("ai_gate") == "accepted", "done").when(F.col("ai_gate") == "rejected", "failed")
+    rows = table(spark, d, "evidence_items").select("run_id", status.alias("status"), "created_at")
+    return runs.progress(rows, "run_id", "status", "created_at", 10_000).select("run_id", "done", "failed", F.col("remaining").cast("bigint").alias("remaining"))

@@ -59,11 +59,11 @@ def ambiguity_margin(spark, d):
 def star_join_revenue(spark, d):
     t = {n: table(spark, d, n) for n in ("lineitem", "orders", "customer", "nation", "region")}
     orders = t["orders"].filter("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
-    # lineitem meets orders once; the customer's nation is added after the partial sum has shrunk the rows
-    per = t["lineitem"].select("l_orderkey", "l_extendedprice", "l_discount").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    per = per.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
+    # the dimensions go to the orders first; lineitem then meets them once and leaves a row a nation and task
     place = t["customer"].select("c_custkey", "c_nationkey").join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey")).join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
-    return per.join(place, F.col("o_custkey") == F.col("c_custkey")).groupBy("n_name", "r_name").agg(F.sum("lines").alias("lines"), F.round(F.sum("revenue"), 2).alias("revenue"))
+    placed = orders.join(place, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "n_name", "r_name")
+    lines = t["lineitem"].select("l_orderkey", "l_extendedprice", "l_discount").join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
+    return lines.groupBy("n_name", "r_name").agg(F.count(F.lit(1)).alias("lines"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 
 
 @query("SELECT c_mktsegment, count(o_orderkey) AS urgent, count(DISTINCT c_custkey) AS customers FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderpriority = '1-URGENT' GROUP BY 1")
@@ -301,15 +301,13 @@ def quote_containment(spark, d):
 @query("SELECT id, rnk <= 2 AS kept FROM (SELECT id, row_number() OVER (PARTITION BY source_domain ORDER BY authority_score DESC NULLS LAST, id) AS rnk FROM evidence_items)")
 def trim_keep_flag(spark, d):
     rows = table(spark, d, "evidence_items").select("id", "source_domain", "authority_score")
-    return R.ranked(rows, ["source_domain"], [F.desc_nulls_last("authority_score"), F.asc("id")], "rnk").select("id", (F.col("rnk") <= 2).alias("kept"))
+    return R.flag_top_k(rows, "id", ["source_domain"], [F.desc_nulls_last("authority_score"), F.asc("id")], 2).select("id", "kept")
 
 
 @query("SELECT id, first_value(id) OVER (PARTITION BY run_id, entity_id, near_dup_key ORDER BY id) AS canonical, count(*) OVER (PARTITION BY run_id, entity_id, near_dup_key) AS copies FROM evidence_items")
 def near_dup_canonical(spark, d):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("run_id", "entity_id", "near_dup_key")
-    return table(spark, d, "evidence_items").select("id", F.min("id").over(w).alias("canonical"), F.count(F.lit(1)).over(w).alias("copies"))
+    rows = table(spark, d, "evidence_items").select("id", "run_id", "entity_id", "near_dup_key")
+    return R.with_group_stats(rows, ["run_id", "entity_id", "near_dup_key"], canonical=F.min("id"), copies=F.count(F.lit(1))).select("id", "canonical", "copies")
 
 
 @query("SELECT id, person_name, trim(regexp_replace(regexp_replace(lower(coalesce(person_name, '')), '\\.', '', 'g'), '[^a-z]+', '-', 'g'), '-') AS key, substr(trim(regexp_replace(lower(coalesce(person_name, '')), '[^a-z0-9]+', '-', 'g'), '-'), 1, 80) AS slug FROM voices")

@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_csv(spark: SparkSession, path: str, required: Sequence[str], aliases: dict[str, Sequence[str]] | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, required: Sequence[str], aliases: dict[str, Sequence[str]] | None = None, breaks: bool = True) -> DataFrame:
     """A CSV with a header, all columns text. A missing required column is an error before any row is read.
 
     aliases: name -> headers it may have; the first that is filled counts. A byte-order mark on the first header is ignored.
+    breaks: cells may hold line breaks; a file is one task then. Large files without such cells are split among tasks with False.
     """
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    df = spark.read.csv(path, header=True, multiLine=breaks, escape='"')
     df = df.toDF(*(c.lstrip("﻿").strip() for c in df.columns))
     for name, others in (aliases or {}).items():
         found = [c for c in (name, *others) if c in df.columns]

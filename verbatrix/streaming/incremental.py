@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from verbatrix.operators.relational import upsert
+from verbatrix.operators.relational import latest
 from verbatrix.session import ensure_checkpoint_dir
 
 
@@ -42,24 +42,28 @@ def late_dedupe(events: DataFrame, ts: str, keys: list[str], late: str) -> DataF
 
 
 def changes(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
-    """(key, order, before, after) whenever a key's value differs from its last one; state holds one value a key.
+    """(key, order, before, after) whenever a key's value differs from its last one; state holds the last value and its place.
 
-    Within a micro-batch rows are taken in `order`; across batches in arrival.
+    Within a micro-batch rows are taken in `order`; a row that comes in a later batch than one behind it is late and changes
+    nothing. Null keys are one key, rows with a null order are left out.
     """
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
+        place, last = state.get if state.exists else (None, None)
         out = []
         for at, now in sorted(((a, v) for f in frames for a, v in zip(f[order], f[value])), key=lambda x: x[0]):
+            if place is not None and at < place:
+                continue
             if last is not None and now != last:
                 out.append((k[0], at, last, now))
-            last = now
-        state.update((last,))
+            place, last = at, now
+        if place is not None:
+            state.update((place, last))
         yield pd.DataFrame(out, columns=[key, order, "before", "after"])
 
     schema = f"{key} {types[key]}, {order} {types[order]}, before {types[value]}, after {types[value]}"
-    return rows.select(key, value, order).groupBy(key).applyInPandasWithState(step, schema, f"last {types[value]}", "append", GroupStateTimeout.NoTimeout)
+    return rows.select(key, value, order).filter(F.col(order).isNotNull()).groupBy(key).applyInPandasWithState(step, schema, f"place {types[order]}, last {types[value]}", "append", GroupStateTimeout.NoTimeout)
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -72,20 +76,34 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def drain_upserts(stream: DataFrame, keys: list[str], order: list[str], rules: dict[str, str] | None = None) -> DataFrame:
-    """The table that results from writing every micro-batch over the last version by key; versions are written anew, so a
-    batch that is run again after a failure overwrites its own version only."""
+    """The table that results from writing every micro-batch over what came before by key, by the rules of `upsert`.
+
+    A batch is appended to a log under its number, so nothing is rewritten, and a batch that is run again after a failure
+    overwrites its own part only. The log is folded when it is read: the last row a key and batch, then the batches by rule.
+    """
     spark = stream.sparkSession
     base = f"{ensure_checkpoint_dir(spark)}/upsert-{uuid.uuid4().hex}"
-    schema = stream.schema
 
-    def merge(batch: DataFrame, number: int) -> None:
-        old = spark.read.parquet(f"{base}/v{number - 1}") if number else spark.createDataFrame([], schema)
-        upsert(old, batch, keys, rules, order).write.mode("overwrite").parquet(f"{base}/v{number}")
+    def log(batch: DataFrame, number: int) -> None:
+        latest(batch, keys, order).write.mode("overwrite").parquet(f"{base}/log/batch={number}")
 
-    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(log).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    done = query.lastProgress["batchId"] if query.lastProgress else -1
-    return spark.read.parquet(f"{base}/v{done}") if done >= 0 else spark.createDataFrame([], schema)
+    if not query.recentProgress:
+        return spark.createDataFrame([], stream.schema)
+    return folded(spark.read.parquet(f"{base}/log"), stream.columns, keys, rules)
+
+
+def folded(log: DataFrame, columns: list[str], keys: list[str], rules: dict[str, str] | None = None) -> DataFrame:
+    """One row a key of a log with the column batch, each column by its rule; every rule is an aggregate, so batches combine map-side."""
+    rule = {
+        "new": lambda c: F.max_by(F.struct(c), "batch")[c],
+        "keep": lambda c: F.min_by(F.struct(c), "batch")[c],
+        "max": lambda c: F.max(c),
+        "coalesce": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("batch"))),
+    }
+    rest = [c for c in columns if c not in keys]
+    return log.groupBy(*keys).agg(*(rule[(rules or {}).get(c, "new")](c).alias(c) for c in rest)).select(*columns)
 
 
 Operator = Callable[..., DataFrame]
