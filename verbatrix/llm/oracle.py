@@ -109,3 +109,6 @@ SELECT doc_id, CAST(CASE WHEN lines IS NULL OR len(lines) = 0 THEN 0 ELSE len(w)
   CASE WHEN len(lines) > 0 THEN len(list_filter(lines, lambda x: regexp_matches(x, '{_ENDS.replace("'", "''")}[\\s\\x{{a0}}\\x{{3000}}]*$')))::DOUBLE / len(lines) END AS punctuated_lines
 FROM split
 """
+
+# what any right packing gives, whichever it is
+ORACLE["p8_checked"] = "SELECT container, (SELECT count(*) FROM documents) AS documents, true AS whole, true AS within, true AS tight FROM container_sizes WHERE capacity_tokens >= 1"

@@ -14,7 +14,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,9 +104,9 @@ def pack(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
     return bins
 
 
-def _sizes(folder: str, vocabulary: str):
+def _sizes(vocabulary: str):
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        encode = encoding(folder, vocabulary).encode_ordinary
+        encode = encoding(SparkFiles.getRootDirectory(), vocabulary).encode_ordinary
         for b in batches:
             yield {"id": b["id"], "tokens": [len(encode(t)) if t else 0 for t in b["text"]]}
 
@@ -136,9 +136,10 @@ def _pack(containers: list[tuple[str, int]]):
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(id, tokens) of every row; null and empty texts have 0."""
+    """(id, tokens) of every row; null and empty texts have 0. The vocabulary is shipped with the job, so only the driver needs the folder."""
+    docs.sparkSession.sparkContext.addFile(os.path.join(folder, vocabulary))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return map_batches(rows, _sizes(folder, vocabulary), f"id {rows.schema['id'].dataType.simpleString()}, tokens bigint")
+    return map_batches(rows, _sizes(vocabulary), f"id {rows.schema['id'].dataType.simpleString()}, tokens bigint")
 
 
 def packed(docs: DataFrame, containers: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, block: int = BLOCK) -> DataFrame:
@@ -155,6 +156,23 @@ def packed(docs: DataFrame, containers: DataFrame, id_col: str = "doc_id", text_
     return map_batches(blocks, _pack(sizes), f"container string, capacity bigint, bin bigint, id {kind}, first_token bigint, tokens bigint")
 
 
+def checked(packing: DataFrame, counts: DataFrame, slack: float = 1.02) -> DataFrame:
+    """(container, documents, whole, within, tight) of a packing of documents with these token counts.
+
+    whole: every document's pieces follow each other from its first to its last token; within: no bin holds more than its
+    capacity; tight: there are at most `slack` times the bins that the tokens' volume alone needs, and one.
+    """
+    pieces = packing.groupBy("container", "capacity").agg(F.count_if(F.col("first_token") == 0).alias("documents"), F.sum("tokens").alias("tokens"), F.sum(F.when(F.col("first_token") > 0, F.col("first_token") % F.col("capacity")).otherwise(0)).alias("odd"))
+    bins = packing.groupBy("container", "capacity", "bin").agg(F.sum("tokens").alias("t")).groupBy("container", "capacity").agg(F.max("t").alias("fullest"), F.count(F.lit(1)).alias("bins"))
+    total = counts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("all"))  # one row
+    c = F.col
+    return (
+        pieces.join(bins, ["container", "capacity"])
+        .join(F.broadcast(total), F.lit(True))
+        .select("container", "documents", ((c("documents") == c("n")) & (c("tokens") == c("all")) & (c("odd") == 0)).alias("whole"), (c("fullest") <= c("capacity")).alias("within"), (c("bins") <= slack * F.ceil(c("all") / c("capacity")) + 1).alias("tight"))
+    )
+
+
 def fill(packing: DataFrame) -> DataFrame:
     """(container, capacity, documents, bins, tokens, fill) of a packing; fill is tokens over the room of all bins."""
     bins = packing.groupBy("container", "capacity", "bin").agg(F.sum("tokens").alias("tokens"), F.count_if(F.col("first_token") == 0).alias("documents"))

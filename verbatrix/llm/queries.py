@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from verbatrix.llm.leakage import leaked_spans, without_leaks
 from verbatrix.llm.main_content import main_lines
 from verbatrix.llm.one_form import look_alikes, look_classes, with_forms
-from verbatrix.llm.packing import fill, packed
+from verbatrix.llm.packing import checked, fill, packed, token_counts
 from verbatrix.llm.repeated_lines import line_templates, repeated_lines, without_repeated_lines
 from verbatrix.llm.residue_pages import page_texts, residue_texts
 from verbatrix.llm.school_links import school_links
@@ -152,3 +152,10 @@ def p8_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     return fill(packed(texts(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "container_sizes")))
+
+
+@query
+def p8_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document once, no container over its capacity, next to none more than the tokens' volume needs."""
+    docs = texts(spark, folder, "documents", "doc_id", "text")
+    return checked(materialise(packed(docs, table(spark, folder, "container_sizes"))), token_counts(docs))
