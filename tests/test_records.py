@@ -207,3 +207,28 @@ def test_research_exports(spark, duck, tmp_path):
     names = "publications publication_candidates main_texts evidence_items voices statements fetch_results".split()
     found = exports.research_exports({n: table(spark, f"{DATA}/sf0.001", n) for n in names})
     assert len(found) == 7 and found["evidence"].count() == table(spark, f"{DATA}/sf0.001", "evidence_items").count()
+
+
+def test_matches_and_reviews(spark):
+    from verbatrix.operators import matching
+
+    targets = spark.createDataFrame([(1,), (2,), (3,), (3,), (4,)], "target int")
+    pairs = lambda *x: spark.createDataFrame(list(x), "target int, id string")
+    got = matching.by_priority(targets, [("name", 0.85, pairs((1, "a"), (1, "a"), (2, "a"), (2, "b"))), ("domain", 0.8, pairs((1, "z"), (2, "a"), (3, "c"), (4, None)))])
+    assert rows(got) == [(1, "a", "name", 0.85), (2, None, "ambiguous", 0.0), (3, "c", "domain", 0.8), (4, None, "unmatched", 0.0)]
+    review = spark.createDataFrame([(1, "Yes", ""), (2, "", "b"), (3, "no", None), (9, "y", "b"), (1, "y", "zz"), (4, None, None)], "target int, confirm string, correct string")
+    applied, rejected, invalid = matching.reviewed(got, review, spark.createDataFrame([("a",), ("b",)], "id string"))
+    assert rows(applied) == [(1, "a"), (2, "b")] and rows(rejected) == [(3,)] and rows(invalid) == [(1, "zz"), (9, "b")]
+    log = spark.createDataFrame([("r", "exclude", 1), ("r", "undo", 2), ("s", "undo", 1), ("s", "exclude", 3), (None, "exclude", 1)], "run string, action string, n int")
+    assert rows(matching.excluded_runs(log, "run", "action", ["n"])) == [("s",)]
+
+
+def test_names_and_context(spark):
+    base = lambda n: one(spark, P.base_name(F.col("n")), n=n)
+    assert [base(x) for x in ("University of Orm-Tarn Campus", "Orm College, Main Campus", "Orm-Vale College")] == ["University of Orm", "Orm College", "Orm-Vale College"]
+    part = lambda t: one(spark, P.title_part(F.col("t"), "home|news", "gazette", F.lit("Orm College")), t=t)
+    assert [part(t) for t in ("Home | The Torch - Orm", "News - Orm College | Campus Paper", "Home", "Orm Gazette")] == ["The Torch", "Campus Paper", None, "Orm Gazette"]
+    from verbatrix.operators.statements import neighbours
+
+    df = spark.createDataFrame([(1, ["a", "b", "c", "d"]), (2, []), (3, None)], "id int, t array<string>")
+    assert rows(neighbours(df, "id", F.col("t")).select("pos", "context")) == [(0, "a b"), (1, "a b c"), (2, "a b c d"), (3, "b c d")]

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from verbatrix.functions.text import bound, comparable, compact_ws, hash_form
+from verbatrix.functions.text import bound, comparable, hash_form
 from verbatrix.functions.unicode_forms import nfkc
 from verbatrix.functions.urls import host
 
@@ -271,6 +271,24 @@ def rounded(v: Column, digits: int) -> Column:
     return F.pandas_udf(run, "double")(v.cast("double"))
 
 
+#: The name of a campus behind a school's name.
+CAMPUS = r"(?i)\s*[-–,]\s*(?:main campus|[A-Z][\w .'&]*campus)\s*$"
+
+
 def base_name(name: Column) -> Column:
-    """A school's name without its campus: what stands behind a comma, a dash between blanks or in brackets is cut."""
-    return compact_ws(F.regexp_replace(F.coalesce(name, F.lit("")), r"\s*(?:\(.*|,.*|\s[-–—]\s.*)$", ""))
+    """A school's name without that of its campus."""
+    return F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), CAMPUS, ""))
+
+
+#: What parts a title.
+PARTS = r"\s+[|–—:-]\s+"
+
+
+def title_part(title: Column, generic: str, wanted: str, other: Column, longest: int = 120, plain: int = 80) -> Column:
+    """The part of a title that names its paper: the first that isn't generic and looks wanted or opens with 'the', else the
+    first that isn't generic, up to `plain` characters and not `other`; null for none. generic and wanted are patterns."""
+    parts = F.filter(F.transform(F.split(F.coalesce(title, F.lit("")), PARTS), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: p != "")
+    named = F.filter(parts, lambda p: ~p.rlike(f"(?i)^(?:{generic})$"))
+    best = F.filter(named, lambda p: p.rlike(f"(?i){wanted}") | F.startswith(F.lower(p), F.lit("the ")))
+    rest = F.filter(named, lambda p: (F.length(p) <= plain) & (F.lower(p) != F.lower(F.coalesce(other, F.lit("")))))
+    return F.substring(F.coalesce(F.try_element_at(best, F.lit(1)), F.try_element_at(rest, F.lit(1))), 1, longest)

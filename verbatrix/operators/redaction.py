@@ -98,3 +98,15 @@ def common_words(df: DataFrame, text: str, least: int = 2) -> DataFrame:
     """(word, n) of the ASCII words that stand in lower case at least `least` times; pre-aggregated before the shuffle."""
     words = F.explode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"(?<![A-Za-z0-9])([a-z]{2,})(?![A-Za-z0-9])"), 1))
     return df.select(words.alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+
+
+def make_public(df: DataFrame, private: list[str], urls: list[str], titles: list[str], story: Column, order: list[Column], rank: str = "rank", limit: int | None = None) -> DataFrame:
+    """df for the public: private columns dropped, addresses and titles of stories masked, ranked anew; with a limit only the first rows, which is all that is ranked then."""
+    out = df.drop(*private).withColumn("__story", F.coalesce(story, F.lit(False)))
+    out = out.withColumns({c: mask_urls(F.col(c), F.col("__story")) for c in urls})
+    out = out.withColumns({c: F.when(F.col("__story") & F.col(c).isNotNull(), F.lit("[story]")).otherwise(F.col(c)) for c in titles}).drop("__story")
+    if limit is None:
+        return out
+    from verbatrix.operators.predicates import ordered
+
+    return ordered(out, order, limit, rank)

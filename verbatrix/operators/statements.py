@@ -52,6 +52,14 @@ def with_context(df: DataFrame, key: str, order: str, text: str, before: int = 1
     return df.withColumn("context", F.concat_ws(" ", *parts))
 
 
+def neighbours(df: DataFrame, id_col: str, texts: Column, before: int = 2, after: int = 1) -> DataFrame:
+    """(id, pos, text, context) of the elements of an array with those around them, cut out of the array itself: no shuffle, no window."""
+    held = df.select(F.col(id_col), texts.alias("__all")).filter(F.size("__all") > 0)
+    each = held.select(id_col, "__all", F.posexplode("__all").alias("pos", "text"))
+    first = F.greatest(F.col("pos") - before, F.lit(0))
+    return each.select(id_col, "pos", "text", F.array_join(F.slice("__all", first + 1, F.col("pos") + after - first + 1), " ").alias("context"))
+
+
 def tag_bridge(df: DataFrame, id_col: str, text_col: str, patterns: dict[str, str]) -> DataFrame:
     """(id, tag) for every pattern found: the many-to-many bridge."""
     return df.select(id_col, F.explode(tags_of(F.col(text_col), patterns)).alias("tag"))

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from verbatrix.functions import pages as P
 from verbatrix.functions import text as X
+from verbatrix.functions import urls as U
 from verbatrix.functions.stats import ratio
-from verbatrix.operators import frontier, html, names, redaction, runs
+from verbatrix.operators import frontier, html, matching, names, redaction, runs
 from verbatrix.operators import predicates as Q
 from verbatrix.operators.sizing import spread
-from verbatrix.operators.statements import bounded_sentences
+from verbatrix.operators.statements import bounded_sentences, neighbours
+from verbatrix.operators.versions import remaining, within_budget
 from verbatrix.plans.registry import query
 from verbatrix.plans.texts import _comparable, _hash_form, _nfkc
 from verbatrix.sources.tables import table
@@ -386,3 +388,65 @@ def run_progress(spark, d):
     status = F.when(F.col("ai_gate") == "accepted", "done").when(F.col("ai_gate") == "rejected", "failed")
     rows = table(spark, d, "evidence_items").select("run_id", status.alias("status"), "created_at")
     return runs.progress(rows, "run_id", "status", "created_at", 10_000).select("run_id", "done", "failed", F.col("remaining").cast("bigint").alias("remaining"))
+
+
+@query("""WITH l AS (SELECT page_id, string_split(full_text, chr(10)) AS ls FROM main_texts WHERE full_text IS NOT NULL), e AS (SELECT page_id, ls, unnest(range(len(ls))) AS pos FROM l)
+SELECT page_id, CAST(pos AS INTEGER) AS pos, array_to_string(ls[greatest(pos - 2, 0) + 1 : least(pos + 1, len(ls) - 1) + 1], ' ') AS context FROM e""")
+def lines_in_context(spark, d):
+    """Every line with the two before and the one behind it."""
+    return neighbours(table(spark, d, "main_texts"), "page_id", F.split("full_text", "\n", -1)).select("page_id", "pos", "context")
+
+
+@query("SELECT unitid, trim(regexp_replace(coalesce(name, ''), '(?i)\\s*[-–,]\\s*(?:main campus|[A-Z][\\w .''&]*campus)\\s*$', '')) AS base FROM institutions")
+def school_base_names(spark, d):
+    return table(spark, d, "institutions").select("unitid", P.base_name(F.col("name")).alias("base"))
+
+
+_GENERIC, _WANTED = "home|homepage|news|about us|welcome|index", "gazette|herald|torch|observer|chronicle|collegian|signal|beacon"
+
+
+@query(f"""WITH p AS (SELECT id, domain, list_filter(list_filter(list_transform(regexp_split_to_array(coalesce(title, ''), '\\s+[|–—:-]\\s+'), lambda x: trim(x)), lambda x: x <> ''), lambda x: NOT regexp_matches(x, '(?i)^(?:{_GENERIC})$')) AS ps FROM publication_candidates)
+SELECT id, left(coalesce(list_filter(ps, lambda x: regexp_matches(x, '(?i){_WANTED}') OR starts_with(lower(x), 'the '))[1], list_filter(ps, lambda x: length(x) <= 80 AND lower(x) <> lower(coalesce(domain, '')))[1]), 120) AS name FROM p""")
+def paper_names(spark, d):
+    return table(spark, d, "publication_candidates").select("id", P.title_part(F.col("title"), _GENERIC, _WANTED, F.col("domain")).alias("name"))
+
+
+_ORG = r"trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '&', ' and ', 'g'), '[^a-z0-9]+', ' ', 'g')), '(^| )saint( |$)', '\1st\2', 'g'), '^the | the$', '', 'g'))"
+
+
+@query(f"""WITH t AS (SELECT id AS target, {_ORG.format('title')} AS n, {_HOST.format('domain')} AS h FROM publication_candidates), i AS (SELECT unitid AS id, {_ORG.format('name')} AS n, {_HOST.format('website')} AS h FROM institutions),
+m AS (SELECT target, i.id, 0 AS p, 'name' AS method, 0.85 AS c FROM t JOIN i ON t.n = i.n AND t.n <> '' UNION ALL SELECT target, i.id, 1, 'domain', 0.8 FROM t JOIN i ON t.h <> '' AND i.h <> '' AND (t.h = i.h OR ends_with(t.h, '.' || i.h))),
+g AS (SELECT target, p, method, c, min(id) AS low, max(id) AS high FROM m GROUP BY ALL), b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY target ORDER BY p) = 1)
+SELECT t.target, CASE WHEN low = high THEN low END AS id, CASE WHEN b.target IS NULL THEN 'unmatched' WHEN low = high THEN method ELSE 'ambiguous' END AS method, CAST(CASE WHEN low = high THEN c ELSE 0 END AS DOUBLE) AS confidence FROM (SELECT DISTINCT target FROM t) t LEFT JOIN b USING (target)""")
+def school_match_cascade(spark, d):
+    """Candidates to schools by name, else by host; the host test is an equi-join on the host's suffixes."""
+    sites = table(spark, d, "publication_candidates").select(F.col("id").alias("target"), X.organisation_name(F.col("title")).alias("n"), U.host(F.col("domain")).alias("h"))
+    schools = table(spark, d, "institutions").select(F.col("unitid").alias("id"), X.organisation_name(F.col("name")).alias("n"), U.host(F.col("website")).alias("h"))
+    by_name = sites.filter("n <> ''").join(schools.select("id", "n"), "n").select("target", "id")
+    below = sites.filter("h <> ''").select("target", F.explode(U.host_suffixes(F.col("h"))).alias("h"))
+    by_host = below.join(schools.filter("h <> ''").select("id", "h"), "h").select("target", "id")
+    return matching.by_priority(sites, [("name", 0.85, by_name), ("domain", 0.8, by_host)])
+
+
+@query("SELECT run_id, count(*) AS n FROM evidence_items WHERE run_id NOT IN (SELECT run_id FROM evidence_items WHERE run_id IS NOT NULL GROUP BY 1 HAVING arg_max(CASE WHEN id % 2 = 0 THEN 'exclude' ELSE 'undo' END, id) = 'exclude') GROUP BY 1")
+def runs_after_undo(spark, d):
+    """Rows of the runs that no standing exclusion covers; here every row also stands for an action on its run."""
+    rows = table(spark, d, "evidence_items").select("run_id", "id")
+    log = rows.withColumn("action", F.when(F.col("id") % 2 == 0, "exclude").otherwise("undo"))
+    out = matching.excluded_runs(log, "run_id", "action", ["id"])
+    return rows.filter("run_id IS NOT NULL").join(out, "run_id", "left_anti").groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT page_id FROM (SELECT page_id, sum(elapsed_ms) OVER (ORDER BY page_id) AS spent FROM fetch_results WHERE access_class IS DISTINCT FROM 'ok') WHERE spent <= 200000")
+def resumed_within_budget(spark, d):
+    """A stopped run goes on: what isn't done, in order, as far as the budget goes."""
+    items = table(spark, d, "fetch_results").select("page_id", "elapsed_ms")
+    log = table(spark, d, "fetch_results").select("page_id", F.when(F.col("access_class") == "ok", "done").otherwise("failed").alias("status"))
+    return within_budget(remaining(items, log, "page_id"), "elapsed_ms", ["page_id"], 200_000).select("page_id")
+
+
+@query("""SELECT CAST(row_number() OVER (ORDER BY page_id) AS INTEGER) AS rank, page_id, CASE WHEN s THEN regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) || '/withheld' ELSE url END AS url, CASE WHEN s AND title IS NOT NULL THEN '[story]' ELSE title END AS title FROM (SELECT *, coalesce(page_kind = 'crime_article', false) AS s FROM main_texts) QUALIFY rank <= 100""")
+def public_pages(spark, d):
+    """The first hundred pages as a public list."""
+    rows = table(spark, d, "main_texts").select("page_id", "url", "title", "page_kind", "author")
+    return redaction.make_public(rows.withColumn("story", F.col("page_kind") == "crime_article"), ["author", "page_kind"], ["url"], ["title"], F.col("story"), [F.col("page_id")], limit=100).drop("story")
