@@ -110,5 +110,22 @@ SELECT doc_id, CAST(CASE WHEN lines IS NULL OR len(lines) = 0 THEN 0 ELSE len(w)
 FROM split
 """
 
+# words and what stands between them are put together again without the words of a leaked window, and without what stands
+# between two words of one item's windows
+ORACLE["p9_cleaned"] = f"""
+WITH cut AS (SELECT doc_id, text, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS w, regexp_split_to_array(text, '[\\p{{L}}\\p{{N}}]+') AS gaps FROM documents WHERE text IS NOT NULL),
+items AS (SELECT DISTINCT id, g FROM ({_GRAMS.format(id='item_id', table='eval_items')})),
+docs AS (SELECT doc_id AS id, array_to_string(list_transform(w[k : k + 11], lambda x: lower(replace(x, 'ß', 'ss'))), ' ') AS g, k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM cut WHERE len(w) >= 12)),
+hits AS (SELECT DISTINCT docs.id AS doc_id, items.id AS item_id, k FROM docs JOIN items USING (g)),
+held AS (SELECT DISTINCT doc_id, item_id, unnest(range(k, k + 12)) AS i FROM hits),
+gone AS (SELECT DISTINCT doc_id, i FROM held),
+joined AS (SELECT DISTINCT a.doc_id, a.i FROM held a JOIN held b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND b.i = a.i + 1),
+leaked AS (SELECT doc_id, count(DISTINCT item_id) AS n FROM hits GROUP BY 1),
+words AS (SELECT doc_id, w, gaps, unnest(range(0, len(w) + 1)) AS i FROM cut SEMI JOIN leaked USING (doc_id)),
+kept AS (SELECT x.doc_id, string_agg(CASE WHEN x.i = 0 OR g.i IS NOT NULL THEN '' ELSE w[x.i] END || CASE WHEN j.i IS NOT NULL THEN '' ELSE gaps[x.i + 1] END, '' ORDER BY x.i) AS text
+  FROM words x LEFT JOIN gone g ON g.doc_id = x.doc_id AND g.i = x.i LEFT JOIN joined j ON j.doc_id = x.doc_id AND j.i = x.i GROUP BY 1)
+SELECT d.doc_id, CASE WHEN kept.doc_id IS NULL THEN d.text ELSE kept.text END AS text, coalesce(n, 0) AS leaked_items FROM documents d LEFT JOIN leaked USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 # what any right packing gives, whichever it is
 ORACLE["p8_checked"] = "SELECT container, (SELECT count(*) FROM documents) AS documents, true AS whole, true AS within, true AS tight FROM container_sizes WHERE capacity_tokens >= 1"
