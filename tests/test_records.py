@@ -232,3 +232,21 @@ def test_names_and_context(spark):
 
     df = spark.createDataFrame([(1, ["a", "b", "c", "d"]), (2, []), (3, None)], "id int, t array<string>")
     assert rows(neighbours(df, "id", F.col("t")).select("pos", "context")) == [(0, "a b"), (1, "a b c"), (2, "a b c d"), (3, "b c d")]
+
+
+def test_robots():
+    from verbatrix.sources.readers import robots_allow
+
+    text = "User-agent: a\nUser-agent: orm\nDisallow: /x\nAllow: /x/y\nDisallow: /*.pdf$\n\nUser-agent: *\nDisallow: /\n"
+    got = [robots_allow(text, 200, agent, path) for agent, path in (("OrmBot", "/x/1"), ("OrmBot", "/x/y/1"), ("OrmBot", "/z.pdf"), ("OrmBot", "/z.pdf?1"), ("other", "/"))]
+    assert got == [False, True, False, True, False]
+    assert not robots_allow(None, 503, "x", "/") and robots_allow(None, 404, "x", "/") and robots_allow("Disallow: /", 200, "x", "/") and robots_allow("User-agent: *\nDisallow:", None, "x", "/a")
+
+
+def test_attributed_voices(spark):
+    from verbatrix.operators.statements import attributed_voices
+
+    quote = lambda x: f"“{x} and the paper keeps every story that it has ever run,”"
+    texts = [f"{quote('We do not')} said Ada Orm, editor of the paper. {quote('You may')} Bo Vale told us.", f"{quote('They will')} Cy Tarn, the adviser, said. Di Quist said: {quote('She would')} and left.", None, "“Too short,” said Ada Orm."]
+    got = {(r["quote"].split()[0], r["speaker"], r["role"], r["method"], r["confidence"]) for r in attributed_voices(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "id", "t").collect()}
+    assert got == {("We", "Ada Orm", "editor of the paper", "said_name", 0.7), ("You", "Bo Vale", None, "name_said", 0.6), ("They", "Cy Tarn", "the adviser", "name_role_said", 0.7), ("She", "Di Quist", None, "before", 0.6)}

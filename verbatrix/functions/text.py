@@ -113,3 +113,27 @@ def emails(t: Column) -> Column:
 def windows_around(t: Column, pattern: str, width: int = 360, most: int = 4) -> Column:
     """Up to `most` excerpts of `width` characters on either side of a pattern's hits, for each text."""
     return F.slice(F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(rf"(?si)(.{{0,{width}}}(?:{pattern}).{{0,{width}}})"), 1), 1, most)
+
+
+def factor_match(t: Column, factors: dict[str, tuple[float, list[str]]], active: list[str] | None = None, digits: int = 2) -> tuple[Column, Column]:
+    """(score, names) of the factors that a text matches: the share of their weights, out of 100, in all or in the active ones.
+
+    A factor is matched if all of its patterns are found, ASCII case ignored: with more than one it is conjunctive.
+    """
+    text = F.coalesce(t, F.lit(""))
+    used = {n: f for n, f in factors.items() if active is None or n in active}
+    hit = {n: reduce(lambda a, b: a & b, (text.rlike(f"(?i){p}") for p in patterns)) for n, (_, patterns) in used.items()}
+    total = sum(w for w, _ in used.values())
+    score = reduce(lambda a, b: a + b, (F.when(hit[n], F.lit(float(w))).otherwise(F.lit(0.0)) for n, (w, _) in used.items()), F.lit(0.0))
+    return F.round(100 * score / total, digits), F.array_sort(F.array_compact(F.array(*(F.when(h, F.lit(n)) for n, h in hit.items()))))
+
+
+# Local parts of addresses that no person reads.
+UNREAD = r"^(?:no-?reply|donotreply|privacy|abuse|postmaster|webmaster|ads?|advertis\w*|sales|billing|subscriptions?|circulation|careers|jobs|hr|classifieds?|marketing)$"
+
+
+def own_emails(t: Column, domain: Column) -> Column:
+    """The addresses of a text on the domain or below it, without those that no person reads."""
+    site = F.regexp_replace(F.lower(F.coalesce(domain, F.lit(""))), r"^www\.", "")
+    at = lambda e: F.substring_index(e, "@", -1)
+    return F.filter(emails(t), lambda e: (site != "") & ((at(e) == site) | F.endswith(e, F.concat(F.lit("."), site))) & ~F.substring_index(e, "@", 1).rlike(UNREAD))

@@ -85,3 +85,31 @@ def voices(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     hit = lambda g: F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(QUOTE_AFTER), g)
     rows = df.select(id_col, F.explode(F.arrays_zip(hit(1).alias("quote"), hit(3).alias("speaker"))).alias("v"))
     return rows.select(id_col, "v.quote", "v.speaker").distinct()
+
+
+_SAID = r"(?:said|asked|told|added|explained|says|wrote)"
+_NAMED = r"([A-ZÀ-Þ][^ ,.\"“”]+ (?:[A-Z]\. )?[A-ZÀ-Þ][^ ,.\"“”]+)"
+_QUOTED = r"[\"“]([^\"“”]{40,700})[\"”]"
+#: Attributions in the order they count: (method, pattern, group of the quotation, of the speaker, of the role or 0).
+ATTRIBUTIONS = [
+    ("said_name", rf"{_QUOTED},? ?{_SAID} {_NAMED}(?:, ([^,.;\"“”]{{3,120}})[,.])?", 1, 2, 3),
+    ("name_said", rf"{_QUOTED},? ?{_NAMED} {_SAID}", 1, 2, 0),
+    ("name_role_said", rf"{_QUOTED},? ?{_NAMED}, ([^,.;\"“”]{{3,120}}), {_SAID}", 1, 2, 3),
+    ("before", rf"{_NAMED}(?:, ([^,.;\"“”]{{3,120}}),)? {_SAID}(?: that)?[:,]? ?{_QUOTED}", 3, 1, 2),
+]
+
+
+def attributed_voices(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, quote, speaker, role, method, confidence) of quotations with a named speaker behind or before them.
+
+    One row a quotation of a text, by the first attribution that names its speaker; 0.7 with a role, else 0.6.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = []
+    for k, (method, pattern, quote, speaker, role) in enumerate(ATTRIBUTIONS):
+        group = lambda g: F.regexp_extract_all(text, F.lit(pattern), g)  # noqa: B023, E731
+        zipped = F.arrays_zip(group(quote).alias("quote"), group(speaker).alias("speaker"), (group(role) if role else F.transform(group(quote), lambda _: F.lit(""))).alias("role"))
+        found.append(F.transform(zipped, lambda v: F.struct(v["quote"].alias("quote"), F.lit(k).alias("k"), v["speaker"].alias("speaker"), F.nullif(v["role"], F.lit("")).alias("role"), F.lit(method).alias("method"))))  # noqa: B023
+    rows = df.select(id_col, F.explode(F.concat(*found)).alias("v")).select(id_col, "v.*")
+    best = rows.groupBy(id_col, "quote").agg(F.min(F.struct("k", "speaker", "role", "method")).alias("b"))
+    return best.select(id_col, "quote", "b.speaker", "b.role", "b.method", F.when(F.col("b.role").isNull(), F.lit(0.6)).otherwise(F.lit(0.7)).alias("confidence"))

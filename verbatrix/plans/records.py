@@ -10,11 +10,13 @@ from verbatrix.functions import urls as U
 from verbatrix.functions.stats import ratio
 from verbatrix.operators import frontier, html, matching, names, redaction, runs
 from verbatrix.operators import predicates as Q
+from verbatrix.operators.relational import overlapping_groups
 from verbatrix.operators.sizing import spread
-from verbatrix.operators.statements import bounded_sentences, neighbours
+from verbatrix.operators.statements import ATTRIBUTIONS, attributed_voices, bounded_sentences, neighbours
 from verbatrix.operators.versions import remaining, within_budget
 from verbatrix.plans.registry import query
 from verbatrix.plans.texts import _comparable, _hash_form, _nfkc
+from verbatrix.sources.sinks import safe_text
 from verbatrix.sources.tables import table
 
 # titles: the shorter of what the two kinds of separator leave
@@ -450,3 +452,75 @@ def public_pages(spark, d):
     """The first hundred pages as a public list."""
     rows = table(spark, d, "main_texts").select("page_id", "url", "title", "page_kind", "author")
     return redaction.make_public(rows.withColumn("story", F.col("page_kind") == "crime_article"), ["author", "page_kind"], ["url"], ["title"], F.col("story"), [F.col("page_id")], limit=100).drop("story")
+
+
+#: Fourteen weighted factors; the last is conjunctive.
+_FACTORS = {
+    "setting": (8.0, ["student|campus|school|college"]), "police": (12.0, ["police log|mug ?shot|arrest"]), "dismissed": (14.0, ["dismissed|dropped"]), "acquitted": (14.0, ["acquittal|acquitted"]), "sealed": (12.0, ["sealed|expunged"]),
+    "time": (10.0, ["years? ago|change of heart|[0-9]+ months"]), "private": (8.0, ["private|minors?"]), "search": (12.0, ["search|de-index"]), "harm": (10.0, ["harm|threat|job search"]), "delete": (8.0, ["delete|take down|remove"]),
+    "anonymize": (12.0, ["anonymize|names? of"]), "update": (8.0, ["update|note|annotate"]), "court": (10.0, ["court|charge"]), "kept_without_name": (14.0, ["keep|kept|remain", "search|name"]),
+}
+_ACTIVE_FACTORS = ["dismissed", "search", "anonymize", "kept_without_name"]
+
+
+def _factor_sql(names: list[str]) -> str:
+    hit = {n: " AND ".join(_has("coalesce(excerpt, '')", p) for p in _FACTORS[n][1]) for n in names}
+    total = sum(_FACTORS[n][0] for n in names)
+    return f"round(100 * ({' + '.join(f'CASE WHEN {h} THEN {_FACTORS[n][0]}::DOUBLE ELSE 0 END' for n, h in hit.items())}) / {total}, 2)", f"array_to_string(list_sort(list_filter([{', '.join(f'CASE WHEN {h} THEN {chr(39)}{n}{chr(39)} END' for n, h in hit.items())}], lambda x: x IS NOT NULL)), ',')"
+
+
+@query(f"SELECT id, {_factor_sql(list(_FACTORS))[0]} AS similarity, {_factor_sql(list(_FACTORS))[1]} AS factors, {_factor_sql(_ACTIVE_FACTORS)[0]} AS case_match FROM evidence_items")
+def factor_similarity(spark, d):
+    score, found = X.factor_match(F.col("excerpt"), _FACTORS)
+    active, _ = X.factor_match(F.col("excerpt"), _FACTORS, _ACTIVE_FACTORS)
+    return table(spark, d, "evidence_items").select("id", score.alias("similarity"), F.array_join(found, ",").alias("factors"), active.alias("case_match"))
+
+
+def _voices_sql() -> str:
+    parts = []
+    for k, (method, pattern, q, s, r) in enumerate(ATTRIBUTIONS):
+        group = lambda g: f"regexp_extract_all(coalesce(full_text, ''), '{pattern}', {g})"  # noqa: B023, E731
+        roles = group(r) if r else f"list_transform({group(q)}, lambda x: '')"
+        parts.append(f"SELECT page_id, {k} AS k, '{method}' AS method, unnest({group(q)}) AS quote, unnest({group(s)}) AS speaker, nullif(unnest({roles}), '') AS role FROM main_texts")
+    return f"SELECT page_id, quote, speaker, role, method, CASE WHEN role IS NULL THEN 0.6 ELSE 0.7 END::DOUBLE AS confidence FROM ({' UNION ALL '.join(parts)}) QUALIFY row_number() OVER (PARTITION BY page_id, quote ORDER BY k, speaker, role NULLS FIRST, method) = 1"
+
+
+@query(_voices_sql())
+def voices_by_attribution(spark, d):
+    return attributed_voices(table(spark, d, "main_texts"), "page_id", "full_text")
+
+
+@query(r"""WITH m AS (SELECT m.page_id, regexp_replace(lower(coalesce(p.domain, '')), '^www\.', '') AS site, list_distinct(regexp_extract_all(lower(coalesce(full_text, '')), '([a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)+)', 1)) AS es FROM main_texts m LEFT JOIN publications p ON p.id = m.publication_id)
+SELECT page_id, unnest(list_filter(es, lambda e: site <> '' AND (split_part(e, '@', 2) = site OR ends_with(e, '.' || site)) AND NOT regexp_matches(split_part(e, '@', 1), '^(?:no-?reply|donotreply|privacy|abuse|postmaster|webmaster|ads?|advertis\w*|sales|billing|subscriptions?|circulation|careers|jobs|hr|classifieds?|marketing)$'))) AS email FROM m""")
+def own_site_emails(spark, d):
+    papers = table(spark, d, "publications").select(F.col("id").alias("publication_id"), "domain")
+    rows = table(spark, d, "main_texts").select("page_id", "publication_id", "full_text").join(papers, "publication_id", "left")
+    return rows.select("page_id", F.explode(X.own_emails(F.col("full_text"), F.col("domain"))).alias("email"))
+
+
+@query("""WITH g AS (SELECT unitid, control, level, state, included FROM institutions), m AS (SELECT unitid, unnest(list_filter(['all', CASE WHEN control = 1 THEN 'public' END, CASE WHEN level = 1 THEN 'four_year' END, CASE WHEN state IN ('OH', 'TX', 'CA') THEN 'large_states' END], lambda x: x IS NOT NULL)) AS peer_group FROM g WHERE included = 1),
+p AS (SELECT unitid, count(*) AS papers, count(*) FILTER (WHERE verification_status = 'verified') AS verified, count(*) FILTER (WHERE is_primary = 1) AS primaries FROM publications WHERE unitid IS NOT NULL GROUP BY 1)
+SELECT peer_group, count(*) AS institutions, CAST(coalesce(sum(papers), 0) AS BIGINT) AS publications, CAST(coalesce(sum(verified), 0) AS BIGINT) AS verified, CAST(coalesce(sum(primaries), 0) AS BIGINT) AS primaries, count(papers) AS with_publication FROM m LEFT JOIN p USING (unitid) GROUP BY 1""")
+def peer_group_crosstab(spark, d):
+    """Measures over groups that overlap: a school counts in each of its groups, its papers are summed before it is repeated."""
+    schools = table(spark, d, "institutions").filter("included = 1")
+    papers = table(spark, d, "publications").filter("unitid IS NOT NULL").groupBy("unitid").agg(F.count(F.lit(1)).alias("papers"), F.count_if(F.col("verification_status") == "verified").alias("v"), F.count_if(F.col("is_primary") == 1).alias("p"))
+    groups = {"all": F.lit(True), "public": F.col("control") == 1, "four_year": F.col("level") == 1, "large_states": F.col("state").isin("OH", "TX", "CA")}
+    member = overlapping_groups(schools.join(papers, "unitid", "left"), groups)
+    return member.groupBy("peer_group").agg(
+        F.count(F.lit(1)).alias("institutions"), F.coalesce(F.sum("papers"), F.lit(0)).alias("publications"), F.coalesce(F.sum("v"), F.lit(0)).alias("verified"), F.coalesce(F.sum("p"), F.lit(0)).alias("primaries"), F.count("papers").alias("with_publication")
+    )
+
+
+@query("""WITH g AS (SELECT entity_id, statement_type, coalesce(near_dup_key, CAST(id AS VARCHAR)) AS k, max(authority_score) AS score, min(id) AS id FROM evidence_items WHERE entity_id IS NOT NULL GROUP BY 1, 2, 3)
+SELECT entity_id, statement_type, count(*) AS groups, arg_min(id, (-score, id)) AS best FROM g WHERE score IS NOT NULL GROUP BY 1, 2""")
+def distinct_groups_best_first(spark, d):
+    """How many different statements of a kind stand for an entity, and the first of the best."""
+    rows = table(spark, d, "evidence_items").filter("entity_id IS NOT NULL")
+    groups = rows.groupBy("entity_id", "statement_type", F.coalesce("near_dup_key", F.col("id").cast("string")).alias("k")).agg(F.max("authority_score").alias("score"), F.min("id").alias("id")).filter("score IS NOT NULL")
+    return groups.groupBy("entity_id", "statement_type").agg(F.count(F.lit(1)).alias("groups"), F.min_by("id", F.struct(-F.col("score"), "id")).alias("best"))
+
+
+@query("SELECT doc_id, regexp_replace(title, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g') AS title FROM documents")
+def safe_titles(spark, d):
+    return safe_text(table(spark, d, "documents").select("doc_id", "title"))

@@ -87,6 +87,47 @@ def crawl_delay(robots: Column, agent: str) -> Column:
     return _series(one, robots)
 
 
+def robots_allow(text: str | None, status: int | None, agent: str, path: str) -> bool:
+    """May an agent fetch a path? A robots file that answered with a server's error forbids all, one that is missing nothing.
+
+    The group that names most of the agent counts, or else that for all; of its rules the longest that fits the path, of
+    equals the one that allows. * and a final $ in rules have their usual meaning.
+    """
+    if status is not None and status >= 500:
+        return False
+    if text is None or status is not None and status >= 400:
+        return True
+    groups: dict[str, list[tuple[bool, str]]] = {}
+    names: list[str] = []
+    rules = True
+    for line in text.splitlines():
+        key, _, value = line.split("#")[0].partition(":")
+        key, value = key.strip().lower(), value.strip()
+        if key == "user-agent":
+            names = [value.lower()] if rules else [*names, value.lower()]
+            rules = False
+            groups.setdefault(names[-1], [])
+        elif key in ("allow", "disallow"):
+            rules = True
+            for n in names if value else ():
+                groups[n].append((key == "allow", value))
+    mine = [n for n in groups if n != "*" and n in agent.lower()]
+    best = (-1, True)
+    for allowed, rule in groups[max(mine, key=len)] if mine else groups.get("*", []):
+        pattern = "".join(".*" if c == "*" else re.escape(c) for c in rule.removesuffix("$")) + ("$" if rule.endswith("$") else "")
+        if re.match(pattern, path):
+            best = max(best, (len(rule), allowed))
+    return best[1]
+
+
+def may_fetch(robots: Column, status: Column, path: Column, agent: str) -> Column:
+    def run(texts: pd.Series, codes: pd.Series, paths: pd.Series) -> pd.Series:
+        return pd.Series([robots_allow(t, None if pd.isna(c) else int(c), agent, p or "/") for t, c, p in zip(texts, codes, paths)], dtype=bool)
+
+    run.__annotations__ = {"texts": pd.Series, "codes": pd.Series, "paths": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "boolean")(robots, status, path)
+
+
 def _series(one, column: Column) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([one(x) for x in texts], dtype="float64")
