@@ -32,7 +32,11 @@ def join_measured(left: DataFrame, right: DataFrame, on: list[str], how: str = "
     right is materialised and its bytes are summed; it is broadcast if they stay below `limit`, otherwise the join shuffles
     both sides on the keys and AQE splits skewed partitions. The result is the same either way.
     """
-    right = materialise(right)
+    return join_written(left, materialise(right), on, how, limit)
+
+
+def join_written(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_BYTES) -> DataFrame:
+    """join_measured for a right side that is written already."""
     return left.join(F.broadcast(right) if measured_bytes(right) <= limit else right, on, how)
 
 
