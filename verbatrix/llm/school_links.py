@@ -24,12 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verbatrix.llm.arrow import map_batches
 from verbatrix.llm.school_names import AROUND, NOT_A_SCHOOL, SCHOOL_WORDS, deletions, edit_distance, host_of, label_stems, parse_name, school_labels, squeezed, tokens_of
-from verbatrix.operators.sizing import join_measured, materialise
+from verbatrix.operators.sizing import join_measured, join_written, materialise
 
 #: Rule weights: for (a name alike to 1, an edit away, its host, its label, its place), against.
 FOR = {"name": 6.0, "near": 4.0, "host": 8.0, "label": 6.0, "place": 1.0}
@@ -228,13 +228,13 @@ def _exclusive(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
     """Every host's averages brought to a sum of at most 1."""
     for b in batches:
         fitted = [_fit(np.clip([v["a"] for v in values], 0.0, None), np.ones(len(values))).tolist() for values in b["values"]]
-        yield {"host": [h for h, f in zip(b["host"], fitted) for _ in f], "unitid": [v["unitid"] for values in b["values"] for v in values], "y": [y for f in fitted for y in f]}
+        yield {"host": b["host"], "news": [[(v["unitid"], y) for v, y in zip(values, f)] for values, f in zip(b["values"], fitted)]}
 
 
 def _host_values(pairs: DataFrame, value: str, kind: str) -> DataFrame:
-    """(host, unitid, y): the mean of a column of (host, unitid) rows, exclusive within hosts; a host has few schools here."""
+    """(host, news): a map from unitid to the mean of a column of (host, unitid) rows, exclusive within the host; a host has few schools here."""
     means = pairs.groupBy("host", "unitid").agg(F.avg(value).alias("a")).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("unitid", "a"))).alias("values"))
-    return map_batches(means, _exclusive, f"host string, unitid {kind}, y double")
+    return materialise(map_batches(means, _exclusive, f"host string, news map<{kind},double>"))
 
 
 def settle(pairs: DataFrame, rounds: int = ROUNDS, residual: float = RESIDUAL) -> tuple[DataFrame, DataFrame, float]:
@@ -245,38 +245,34 @@ def settle(pairs: DataFrame, rounds: int = ROUNDS, residual: float = RESIDUAL) -
     """
     kind = pairs.schema["unitid"].dataType.simpleString()
     first = pairs.withColumn("v", F.col("pro") / (F.col("pro") + F.col("con")))
-    told = first.groupBy("host").agg(F.count_distinct("mention").alias("told"))
-    shares = first.groupBy("host", "unitid").agg(F.sum("v").alias("v")).join(told, "host").filter((F.col("v") >= SHARE * F.col("told")) & (F.col("host") != "")).select("host", "unitid", F.lit(True).alias("tied"))
-    ties = materialise(shares)
-    start = join_measured(first, ties, ["host", "unitid"], "left_semi")
-    y = materialise(_host_values(start, "v", kind))
-    grouped = join_measured(pairs, y, ["host", "unitid"], "left").groupBy("mention", "host").agg(
-        F.sort_array(F.collect_list(F.struct("unitid", "pro", "con", "y", F.lit(None).cast("double").alias("x"), F.lit(0.0).alias("dual"), F.lit(0.0).alias("m")))).alias("pairs")
-    )
+    voices = first.groupBy("host").agg(F.count_distinct("mention").alias("told"))
+    shares = first.groupBy("host", "unitid").agg(F.sum("v").alias("v")).join(voices, "host").filter((F.col("v") >= SHARE * F.col("told")) & (F.col("host") != "")).select("host", "unitid")
+    start = join_measured(first, shares, ["host", "unitid"], "left_semi")
+    hosts = _host_values(start, "v", kind)
+    grouped = pairs.groupBy("mention", "host").agg(F.sort_array(F.collect_list(F.struct("unitid", "pro", "con"))).alias("pairs"))
+
+    def pair(p: Column, y: Column, x: Column, dual: Column, m: Column, **more: Column) -> Column:
+        return F.struct(p["unitid"].alias("unitid"), p["pro"].alias("pro"), p["con"].alias("con"), y.alias("y"), x.alias("x"), dual.alias("dual"), m.alias("m"), *(c.alias(n) for n, c in more.items()))
+
+    none, zero = F.lit(None).cast("double"), F.lit(0.0)
+    told = lambda p: F.try_element_at("news", p["unitid"])
+    state = join_written(grouped, hosts, ["host"], "left").select("mention", "host", F.transform("pairs", lambda p: pair(p, told(p), none, zero, zero)).alias("pairs"))
     schema = f"mention bigint, host string, pairs array<struct<unitid:{kind},pro:double,con:double,y:double,x:double,dual:double,m:double>>"
-    state, gap = grouped, None
     for _ in range(rounds):
-        state = materialise(map_batches(state, _round, schema))
-        each = state.select("mention", "host", F.explode("pairs").alias("p")).select("mention", "host", "p.*").filter("y IS NOT NULL")
-        new = materialise(_host_values(each.withColumn("at", F.col("x") + F.col("dual")), "at", kind).withColumnRenamed("y", "new"))
-        moved = join_measured(each, new, ["host", "unitid"])
-        gap = moved.agg(F.max(F.greatest(F.abs(F.col("new") - F.col("y")), F.abs(F.col("x") - F.col("new"))))).first()[0] or 0.0
-        y = new.withColumnRenamed("new", "y")
+        solved = materialise(map_batches(state, _round, schema))
+        each = solved.select("host", F.explode("pairs").alias("p")).filter("p.y IS NOT NULL").select("host", "p.unitid", (F.col("p.x") + F.col("p.dual")).alias("at"))
+        hosts = _host_values(each, "at", kind)
+        # both residuals: how far the hosts' values moved, and how far the copies stand from them
+        moved = F.transform("pairs", lambda p: pair(p, F.when(p["y"].isNotNull(), told(p)), p["x"], F.coalesce(p["dual"] + p["x"] - told(p), zero), p["m"], gap=F.greatest(F.abs(told(p) - p["y"]), F.abs(p["x"] - told(p)))))
+        step = join_written(solved, hosts, ["host"], "left").select("mention", "host", moved.alias("pairs"))
+        gap = step.agg(F.max(F.array_max(F.transform("pairs", lambda p: p["gap"])))).first()[0] or 0.0
         if gap <= residual:
             break
-        by_host = new.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("unitid", "new"))).alias("news"))
-        next_pairs = F.transform(
-            "pairs",
-            lambda p: F.struct(
-                p["unitid"].alias("unitid"), p["pro"].alias("pro"), p["con"].alias("con"), F.when(p["y"].isNotNull(), F.try_element_at("news", p["unitid"])).alias("y"), p["x"].alias("x"),
-                F.coalesce(p["dual"] + p["x"] - F.try_element_at("news", p["unitid"]), F.lit(0.0)).alias("dual"), p["m"].alias("m"),
-            ),
-        )
-        state = join_measured(state, by_host, ["host"], "left").select("mention", "host", next_pairs.alias("pairs"))
+        state = step.select("mention", "host", F.transform("pairs", lambda p: p.dropFields("gap")).alias("pairs"))
     else:
         raise ArithmeticError(f"the links did not settle: residual {gap:.4f} after {rounds} rounds")
-    values = state.select("mention", "host", F.explode("pairs").alias("p")).select("mention", "host", "p.unitid", "p.m")
-    return values, y, gap
+    values = solved.select("mention", "host", F.explode("pairs").alias("p")).select("mention", "host", "p.unitid", "p.m")
+    return values, hosts.select("host", F.explode("news").alias("unitid", "y")), gap
 
 
 def school_links(institutions: DataFrame, candidates: DataFrame, rounds: int = ROUNDS) -> DataFrame:
