@@ -250,3 +250,14 @@ def test_attributed_voices(spark):
     texts = [f"{quote('We do not')} said Ada Orm, editor of the paper. {quote('You may')} Bo Vale told us.", f"{quote('They will')} Cy Tarn, the adviser, said. Di Quist said: {quote('She would')} and left.", None, "“Too short,” said Ada Orm."]
     got = {(r["quote"].split()[0], r["speaker"], r["role"], r["method"], r["confidence"]) for r in attributed_voices(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "id", "t").collect()}
     assert got == {("We", "Ada Orm", "editor of the paper", "said_name", 0.7), ("You", "Bo Vale", None, "name_said", 0.6), ("They", "Cy Tarn", "the adviser", "name_role_said", 0.7), ("She", "Di Quist", None, "before", 0.6)}
+
+
+def test_a_store_written_by_two_at_once_reads_each_text_once(spark, tmp_path):
+    from verbatrix.sources.sinks import store_content, stored_content
+
+    df, path = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "t string"), str(tmp_path / "store")
+    store_content(df, "t", path)
+    spark.read.parquet(path).limit(1).write.mode("append").parquet(str(tmp_path / "other"))
+    spark.read.parquet(str(tmp_path / "other")).write.mode("append").parquet(path)  # a second writer's copy
+    store_content(df, "t", path)
+    assert spark.read.parquet(path).count() == 3 and stored_content(spark, path).count() == 2

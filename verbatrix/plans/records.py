@@ -295,10 +295,15 @@ def crawl_frontier(spark, d):
 
 @query()
 def fuzzy_school_names(spark, d):
-    """Schools whose name is almost another's in their state; brute force tests it on a fixture."""
-    schools = table(spark, d, "institutions").select("unitid", "name", "state")
-    twice = schools.withColumn("half", F.pmod(F.xxhash64("unitid"), F.lit(2)))
-    return names.fuzzy_names(twice.filter("half = 0").withColumnRenamed("unitid", "target"), twice.filter("half = 1").withColumnRenamed("unitid", "id"), "state")
+    """Titles of candidates that are almost the name of a school of the state that their snippet names; brute force tests it on a fixture."""
+    schools = table(spark, d, "institutions").select(F.col("unitid").alias("id"), "name", "state")
+    state = F.nullif(F.regexp_extract(F.coalesce("snippet", F.lit("")), r"\b([A-Z]{2})\b", 1), F.lit(""))
+    # the school stands behind an of or at, in brackets or alone
+    name = F.regexp_replace(F.regexp_replace("title", r"^.*?(?:\bof |\bat |\()(?!of)", ""), r"[).]+\s*$", "")
+    titles = table(spark, d, "publication_candidates").select(F.col("id").alias("target"), F.explode(F.array(F.col("title"), name)).alias("name"), state.alias("state"))
+    numbered = titles.filter("name IS NOT NULL AND state IS NOT NULL").distinct().withColumn("target", F.struct("target", "name"))
+    found = names.fuzzy_names(numbered.select(F.to_json("target").alias("target"), "name", "state"), schools, "state")
+    return found.select(F.get_json_object("target", "$.target").cast("bigint").alias("candidate_id"), F.col("id").alias("unitid"), "similarity").groupBy("candidate_id").agg(F.max_by("unitid", "similarity").alias("unitid"), F.max("similarity").alias("similarity"))
 
 
 @query("SELECT id, 'kept' AS origin FROM publications WHERE is_primary = 1 UNION ALL SELECT c.id, 'added' FROM publication_candidates c WHERE c.status = 'candidate' AND c.score >= 0.8 AND c.domain NOT IN (SELECT domain FROM publications WHERE domain IS NOT NULL)")

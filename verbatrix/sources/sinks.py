@@ -41,3 +41,8 @@ def store_content(df: DataFrame, content: str, path: str) -> DataFrame:
             raise
     new.write.mode("append").parquet(path)
     return keyed
+
+
+def stored_content(spark, path: str) -> DataFrame:
+    """(sha256, content) of a store, each once: two writers that add the same text at the same time leave it there twice."""
+    return spark.read.parquet(path).dropDuplicates(["sha256"])
