@@ -87,6 +87,30 @@ def test_groups_without_windows(spark):
     assert rows(R.merge_survivors(df, "g", "id").select("id", "survivor", "merged_into")) == [(1, 1, None), (2, 1, 1), (3, 3, None), (4, 4, None), (5, 5, None)]
 
 
+def test_order_within_hot_keys(spark):
+    import random
+
+    from verbatrix.operators.statements import with_context
+
+    rng = random.Random(6)
+    data = [(i, rng.choice(["a", "a", "a", "b", None, None, "c"]), f"t{i}") for i in range(200)] + [(200, "d", "t200")]
+    df = spark.createDataFrame(data, "id int, k string, t string").repartition(7)
+    groups = {}
+    for i, k, t in data:
+        groups.setdefault(k, []).append((i, t))
+    want = {i: (n + 1, len(g), " ".join(t for _, t in g[max(0, n - 3) : n + 3])) for g in groups.values() for n, (i, t) in enumerate(g)}
+    got = {r["id"]: (r["rank"], r["n"]) for r in R.spread_rank(df, ["k"], [F.asc("id")], total="n").collect()}
+    assert got == {i: v[:2] for i, v in want.items()}
+    assert {r["id"]: r["context"] for r in with_context(df, "k", "id", "t", 3, 2).collect()} == {i: v[2] for i, v in want.items()}
+    few = df.filter("id IN (3, 50, 120, 200)")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")  # more parts than rows
+    try:
+        assert {r["id"]: r["context"] for r in with_context(few.withColumn("k", F.lit("x")), "k", "id", "t", 2, 0).collect()} == {3: "t3", 50: "t3 t50", 120: "t3 t50 t120", 200: "t50 t120 t200"}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert with_context(df.limit(0), "k", "id", "t").count() == 0 and R.spread_rank(df.limit(0), ["k"], [F.asc("id")]).count() == 0
+
+
 def test_sizes_are_measured(spark):
     small = spark.createDataFrame([(1, "x")], "id int, t string")
     large = spark.createDataFrame([(1, "x" * 100_000), (2, None)], "id int, t string")

@@ -23,6 +23,46 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: st
     return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
 
 
+def _in_order(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """df range-partitioned by keys and order, written, with `__p`, the number of its part: a hot key lies in many parts."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialise(df.repartitionByRange(n, *keys, *order).withColumn("__p", F.spark_partition_id()))
+
+
+def spread_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank", total: str | None = None) -> DataFrame:
+    """df with the row's place within its key, from 1, and if named the key's rows in all; no key's rows all meet in one task.
+
+    Rows are ranked within their part of the order, and the counts of a key's earlier parts, one row a key and part, are added.
+    Order must be total. Nulls in keys equal each other.
+    """
+    placed = _in_order(df, keys, order)
+    counts = placed.groupBy(*keys, "__p").agg(F.count(F.lit(1)).alias("__n"))
+    w = W.partitionBy(*keys)
+    sums = counts.select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("__p").alias("__q"), (F.sum("__n").over(w.orderBy("__p")) - F.col("__n")).alias("__before"), F.sum("__n").over(w).alias("__all"))
+    local = F.row_number().over(W.partitionBy("__p", *keys).orderBy(*order))
+    on = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys] + [F.col("__p") == F.col("__q")]
+    out = placed.withColumn("__i", local).join(materialise(sums), on)
+    return out.select(*df.columns, (F.col("__i") + F.col("__before")).alias(name), *([F.col("__all").alias(total)] if total else []))
+
+
+def with_edges(df: DataFrame, keys: Sequence[str], order: Sequence[Column], before: int, after: int) -> DataFrame:
+    """df in order with `__p`, and `__ghost` copies of the rows at the edges of other parts, so that a window of `before` and `after` rows within (__p, keys) sees what a window within keys would."""
+    placed = _in_order(df, keys, order).withColumn("__ghost", F.lit(False))
+    # parts may be empty: neighbours are the next ones with rows, one row a part
+    numbers = placed.select("__p").distinct().withColumn("__d", F.row_number().over(W.orderBy("__p")))
+    placed = placed.join(F.broadcast(numbers), "__p").drop("__p").withColumnRenamed("__d", "__p")
+    at = W.partitionBy("__p")
+    asc = [*(F.asc(k) for k in keys), *order]
+    edges = placed.withColumn("__first", F.row_number().over(at.orderBy(*asc))).withColumn("__n", F.count(F.lit(1)).over(at)).filter((F.col("__first") <= after) | (F.col("__first") > F.col("__n") - before))
+    # a part has one row at least, so the rows a window needs lie no more parts away than it has rows
+    forth = edges.filter(F.col("__first") > F.col("__n") - before).withColumn("__to", F.explode(F.sequence(F.lit(1), F.lit(before)))) if before else None
+    back = edges.filter(F.col("__first") <= after).withColumn("__to", F.explode(F.sequence(F.lit(-after), F.lit(-1)))) if after else None
+    for ghosts in (forth, back):
+        if ghosts is not None:
+            placed = placed.unionByName(ghosts.withColumn("__p", F.col("__p") + F.col("__to")).withColumn("__ghost", F.lit(True)).drop("__first", "__n", "__to").select(*placed.columns))
+    return placed
+
+
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """The k first rows of each key; Spark cuts groups map-side (WindowGroupLimit)."""
     return ranked(df, keys, order).filter(F.col("rank") <= k)
@@ -138,7 +178,6 @@ def round_robin(df: DataFrame, stratum: str, order: Sequence[Column], n: int) ->
 
 def evenly(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """k rows of each key at even distances from the first to the last; all rows of keys with up to k."""
-    w = W.partitionBy(*keys)
-    rows = df.withColumn("__i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
+    rows = spread_rank(df, keys, order, "__i", "__n").withColumn("__i", (F.col("__i") - 1).cast("int"))
     at = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.bround(j * (F.col("__n") - 1) / F.lit(max(1, k - 1)), 0).cast("int"))
     return rows.filter((F.col("__n") <= k) | F.array_contains(at, F.col("__i"))).drop("__i", "__n")

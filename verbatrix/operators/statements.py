@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verbatrix.functions.text import compact_ws, near_duplicate_key, tags_of
+from verbatrix.operators.relational import with_edges
 from verbatrix.operators.sizing import materialise
 
 #: A gap behind a sentence mark and before a capital or figure: an expression-only split (the llm package has the full one).
@@ -46,10 +47,15 @@ def bounded_sentences(df: DataFrame, id_col: str, text_col: str, longest: int =
 
 
 def with_context(df: DataFrame, key: str, order: str, text: str, before: int = 1, after: int = 1) -> DataFrame:
-    """df with the neighbouring texts of the same key joined before and behind."""
-    w = W.partitionBy(key).orderBy(order)
+    """df with the neighbouring texts of the same key joined before and behind; rows without a key are each other's neighbours.
+
+    The rows lie in ranges of key and order, with copies of the rows at the edges of ranges, so neither a hot key nor the
+    rows without one meet in one task.
+    """
+    rows = with_edges(df, [key], [F.asc(order)], before, after)
+    w = W.partitionBy("__p", key).orderBy(order)
     parts = [*(F.lag(text, k).over(w) for k in range(before, 0, -1)), F.col(text), *(F.lead(text, k).over(w) for k in range(1, after + 1))]
-    return df.withColumn("context", F.concat_ws(" ", *parts))
+    return rows.withColumn("context", F.concat_ws(" ", *parts)).filter("NOT __ghost").select(*df.columns, "context")
 
 
 def neighbours(df: DataFrame, id_col: str, texts: Column, before: int = 2, after: int = 1) -> DataFrame:
