@@ -173,7 +173,8 @@ def unpivot_gates(metrics: DataFrame, key: str, gates: dict[str, tuple[str, floa
 
 def round_robin(df: DataFrame, stratum: str, order: Sequence[Column], n: int) -> DataFrame:
     """n rows taken from the strata in turn: first ranks of all strata, then second ranks, and so on."""
-    return ranked(df, [stratum], order, "turn").orderBy("turn", stratum).limit(n)
+    # no stratum can give more than n rows, so only those are ranked
+    return top_k(df, [stratum], order, n).withColumnRenamed("rank", "turn").orderBy("turn", stratum).limit(n)
 
 
 def evenly(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

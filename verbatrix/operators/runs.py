@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verbatrix.operators.relational import spread_rank
+
 
 def active_runs(beats: DataFrame, run: str, ts: str, now: Column, seconds: int = 60) -> DataFrame:
     """(run, last, active): the last heartbeat of every run, active if it is younger than `seconds`; null runs and times don't count."""
@@ -33,8 +35,8 @@ def circuits(fetches: DataFrame, host: str, ts: str, ok: Column, now: Column, th
 
 def paced(items: DataFrame, host: str, order: list[Column], delay: float, at_once: int = 2) -> DataFrame:
     """items with `start`, the seconds from now at which each may begin: at most `at_once` of a host together, the next ones `delay` later."""
-    place = F.row_number().over(Window.partitionBy(host).orderBy(*order)) - 1
-    return items.withColumn("start", F.floor(place / at_once) * delay)
+    rows = spread_rank(items, [host], order, "__place")
+    return rows.withColumn("start", F.floor((F.col("__place") - 1) / at_once) * delay).drop("__place")
 
 
 def first_and_last(versions: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -33,7 +33,8 @@ def best_item_per_entity(spark, d):
 @query("SELECT l_suppkey, l_partkey, qty, CAST(rnk AS INTEGER) AS rnk, rnk > 3 AS overflow FROM (SELECT l_suppkey, l_partkey, sum(l_quantity) AS qty, row_number() OVER (PARTITION BY l_suppkey ORDER BY sum(l_quantity) DESC, l_partkey) AS rnk FROM lineitem GROUP BY 1, 2)")
 def top_k_parts_with_overflow(spark, d):
     parts = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("qty"))
-    return R.ranked(parts, ["l_suppkey"], [F.desc("qty"), F.asc("l_partkey")], "rnk").withColumn("overflow", F.col("rnk") > 3)
+    rows = R.spread_rank(parts, ["l_suppkey"], [F.desc("qty"), F.asc("l_partkey")], "rnk")
+    return rows.withColumn("rnk", F.col("rnk").cast("int")).withColumn("overflow", F.col("rnk") > 3)
 
 
 @query("SELECT id, round(relevance_score * authority_score, 6) AS score, extraction_confidence FROM evidence_items ORDER BY round(relevance_score * authority_score, 6) DESC NULLS LAST, extraction_confidence DESC NULLS LAST, id LIMIT 50")
