@@ -38,3 +38,31 @@ def test_talk_about_residue_in_a_long_story_is_none():
 
 def test_long_runs_take_no_time():
     assert cues("1" * 100_000 + "a")[1] is None and cues("x" * 100_000 + "a")[1] is None
+
+
+@pytest.mark.parametrize("unit", ["{{ ", "<% ", "[[ ", "“error ", "«access denied ", "<!-- ", "[x ", "a@b ", "< ", "| ", "lorem "])
+def test_openings_without_ends_take_linear_time(unit):
+    import time
+
+    took = []
+    for n in (40_000, 320_000):
+        text = (unit * (n // len(unit))).strip()
+        t = time.process_time()
+        cues(text)
+        took.append(time.process_time() - t)
+    assert took[1] < 20 * took[0] + 0.5, took
+
+
+@pytest.mark.parametrize("unit", ["<script>", "<p>x", "<head><style>a</style>", "<", "<title>"])
+def test_markup_takes_linear_time(unit):
+    import time
+
+    from verbatrix.llm.page_lines import markup_lines, markup_title
+
+    took = []
+    for n in (40_000, 320_000):
+        text = unit * (n // len(unit))
+        t = time.process_time()
+        markup_lines(text), markup_title(text)
+        took.append(time.process_time() - t)
+    assert took[1] < 20 * took[0] + 0.5, took

@@ -26,7 +26,12 @@ DENSE = re.compile(f"{HAN_KANA.pattern}|{THAI.pattern}")
 ADDRESS = re.compile(r"\b[\w.+-]+@[\w-]+\.\w+")
 
 # Syntax of unfilled layouts.
-MARKS = re.compile(r"\{\{.*?\}\}+|\$\{+.*?\}+|%%\w+%%|<%.*?%>|\{%.*?%\}|#\{.*?\}|\[\[.*?\]\]|__[A-Z_]{3,}__|@@\w+@@|\{\$[^}]*\}|\[object Object\]|\bundefined\b|\bNaN\b|<!--.*?-->|<(?:your|insert|enter)\b[^>]*>|\[[^\]]*\b(?:goes here|to come|here)\]|\[(?:headline|insert|your)\b[^\]]*\]|\{\d\}|%[sd]\b", re.I)
+# No mark and no quotation is longer than their quantifiers say, so that an opening without an end costs no more than that.
+MARKS = re.compile(
+    r"\{\{.{0,200}?\}\}+|\$\{+.{0,200}?\}+|%%\w{1,80}%%|<%.{0,200}?%>|\{%.{0,200}?%\}|#\{.{0,200}?\}|\[\[.{0,200}?\]\]|__[A-Z_]{3,80}__|@@\w{1,80}@@|\{\$[^}]{0,200}\}|\[object Object\]|\bundefined\b|\bNaN\b|<!--.{0,400}?-->"
+    r"|<(?:your|insert|enter)\b[^>]{0,200}>|\[[^\]]{0,200}\b(?:goes here|to come|here)\]|\[(?:headline|insert|your)\b[^\]]{0,200}\]|\{\d\}|%[sd]\b",
+    re.I,
+)
 # Words of pages in place of a story, by kind; words of other languages stand behind the English ones. The
 # first row of a kind counts double.
 EVIDENCE = {
@@ -50,10 +55,11 @@ _WEIGHT = {w: (kind, 2 - i) for kind, rows in EVIDENCE.items() for i, row in enu
 #: Weight of evidence a line needs at least, and for each of its words.
 EVIDENCE_LEAST, EVIDENCE_SHARE = 2, 0.28
 STATUS = re.compile(r"(?<![\w.,])[45]\d\d(?![\w.,]\d|\w)")
-QUOTED = re.compile(r"“[^”]*”|\"[^\"]*\"|«[^»]*»|「[^」]*」|„[^“”]*[“”]")
+QUOTED = re.compile(r"“[^”]{0,1000}”|\"[^\"]{0,1000}\"|«[^»]{0,1000}»|「[^」]{0,1000}」|„[^“”]{0,1000}[“”]")
 TAG = re.compile(r"<[^<>]*>?")
+UNREAD = re.compile(r"<(head|script|style)\b", re.I)
+UNREAD_ENDS = {tag: re.compile(f"</{tag}>", re.I) for tag in ("head", "script", "style")}
 BLOCK = re.compile(r"</?(?:p|div|li|ul|ol|h[1-6]|br|tr|td|section|article|header|footer|nav|span|body|html|title|head)\b[^<>]*>", re.I)
-HEAD = re.compile(r"<(head|script|style)\b.*?</\1>", re.I | re.S)
 TITLE = re.compile(r"<title\b[^<>]*>([^<]*)", re.I)
 
 
@@ -61,9 +67,24 @@ def plain(line: str) -> str:
     return " ".join(line.split())
 
 
+def without_heads(markup: str) -> str:
+    """Markup without its head, scripts and styles; one that isn't closed stays, and is looked for once."""
+    out, at, open_ended = [], 0, set()
+    for m in UNREAD.finditer(markup):
+        tag = m[1].lower()
+        if m.start() < at or tag in open_ended:
+            continue
+        if (end := UNREAD_ENDS[tag].search(markup, m.end())) is None:
+            open_ended.add(tag)
+            continue
+        out.append(markup[at : m.start()])
+        at = end.end()
+    return "\n".join([*out, markup[at:]])
+
+
 def markup_lines(markup: str) -> list[str]:
     """The text lines of a piece of markup, its head left out; the last may be cut short."""
-    text = BLOCK.sub("\n", HEAD.sub("\n", markup))
+    text = BLOCK.sub("\n", without_heads(markup))
     return [x for line in text.split("\n") if (x := plain(html.unescape(TAG.sub("", line))))]
 
 
