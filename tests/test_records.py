@@ -261,3 +261,21 @@ def test_a_store_written_by_two_at_once_reads_each_text_once(spark, tmp_path):
     spark.read.parquet(str(tmp_path / "other")).write.mode("append").parquet(path)  # a second writer's copy
     store_content(df, "t", path)
     assert spark.read.parquet(path).count() == 3 and stored_content(spark, path).count() == 2
+
+
+def test_record_exports_and_packets(spark, duck, tmp_path):
+    from tests.conftest import DATA
+    from verbatrix.sources.tables import table
+
+    d = f"{DATA}/sf0.001"
+    found = exports.record_exports({n: table(spark, d, n) for n in ("institutions", "publications", "publication_candidates", "main_texts", "evidence_items")})
+    assert sorted(found) == ["classifications", "evidence", "institutions", "noindex", "publications", "review"]
+    want = duck.execute("SELECT (SELECT count(*) FROM main_texts WHERE coalesce(noindex, false) OR coalesce(nofollow, false)), (SELECT count(DISTINCT entity_id) + count(DISTINCT CASE WHEN entity_id IS NULL THEN 1 END) FROM evidence_items)").fetchall()[0]
+    assert (found["noindex"].count(), found["classifications"].count()) == want
+    rows_in = [(1, "Nora Vance spoke.", "https://o.example/a/nora-vance", "p", True, "secret"), (2, "Bo Tarn came.", "https://o.example/b", "p", False, "x"), (3, "x", "https://o.example/hidden/c", "q", False, "x"), (4, None, None, "r", None, None)]
+    df = spark.createDataFrame(rows_in, "id int, t string, url string, party string, story boolean, note string").withColumn("keep", F.array(F.lit("Bo Tarn")))
+    done = exports.public_packet(df, str(tmp_path), "packet", "url", "/hidden/", "party", ["t"], F.col("keep"), F.col("story"), [F.col("id")], ["note", "keep"], limit=10)
+    got = spark.read.json(str(tmp_path / "packet.json"))
+    assert done["rows"] == 3 and "note" not in got.columns
+    assert rows(got.select("rank", "t")) == [(1, "[name] spoke."), (2, "Bo Tarn came."), (3, None)]
+    assert [r["url"] for r in got.orderBy("rank").collect()] == ["/withheld", "https://o.example/b", None]

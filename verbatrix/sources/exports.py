@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verbatrix.operators.redaction import make_public, redact_rows, withhold
 from verbatrix.sources.sinks import export
 
 
@@ -30,6 +31,29 @@ def research_exports(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     }
 
 
+def record_exports(tables: Mapping[str, DataFrame], unsure: float = 0.6) -> dict[str, DataFrame]:
+    """The six exports of a crawl's records: schools, papers, how the evidence of each paper leans, the evidence, pages that ask not to be indexed, and papers and candidates below a confidence that want review."""
+    evidence, pages = tables["evidence_items"], tables["main_texts"]
+    leaning = evidence.groupBy("entity_id").agg(*(F.count_if(F.col("direction") == side).alias(side) for side in ("supportive", "adverse", "neutral")), F.round(F.avg("extraction_confidence"), 4).alias("confidence"))
+    papers = tables["publications"].filter(F.coalesce("confidence", F.lit(0.0)) < unsure).select(F.lit("publication").alias("kind"), "id", F.col("name").alias("what"), F.col("confidence").alias("score"))
+    found = tables["publication_candidates"].filter((F.col("status") == "candidate") & (F.coalesce("score", F.lit(0.0)) < unsure)).select(F.lit("candidate").alias("kind"), "id", F.col("url").alias("what"), "score")
+    return {
+        "institutions": tables["institutions"].drop("raw_json"),
+        "publications": tables["publications"],
+        "classifications": leaning,
+        "evidence": evidence.select("id", "entity_id", "page_id", "excerpt", "statement_type", "direction", "authority_score"),
+        "noindex": pages.filter(F.coalesce("noindex", F.lit(False)) | F.coalesce("nofollow", F.lit(False))).select("page_id", "url", "meta_robots", "x_robots_tag", "noindex", "nofollow"),
+        "review": papers.unionByName(found),
+    }
+
+
+def public_packet(rows: DataFrame, folder: str, name: str, url: str, withheld: str, party: str, texts: Sequence[str], keep: Column, story: Column, order: Sequence[Column], private: Sequence[str] = (), limit: int | None = None) -> dict[str, object]:
+    """Rows made fit for the public and exported: parties that only stand on withheld addresses go with them, names go out of
+    texts and addresses, private columns are dropped, stories masked, and what is left is ranked and written with a manifest."""
+    seen = redact_rows(withhold(rows, url, withheld, party), list(texts), [url], keep)
+    return export(make_public(seen, list(private), [url], [], story, list(order), limit=limit), folder, name, ("csv", "json"))
+
+
 def audit_sheet(items: DataFrame, shown: Sequence[str], machine: Sequence[str], blind: bool = True) -> DataFrame:
     """A sheet for labelling: the shown columns and three empty ones; the machine's answer only if it isn't blind."""
     empty = {c: F.lit("") for c in ("relevant (y/n)", "direction (supportive/adverse/neutral)", "note")}
