@@ -279,3 +279,14 @@ def test_record_exports_and_packets(spark, duck, tmp_path):
     assert done["rows"] == 3 and "note" not in got.columns
     assert rows(got.select("rank", "t")) == [(1, "[name] spoke."), (2, "Bo Tarn came."), (3, None)]
     assert [r["url"] for r in got.orderBy("rank").collect()] == ["/withheld", "https://o.example/b", None]
+
+
+def test_concepts(spark):
+    from verbatrix.functions.concepts import CONCEPTS
+    from verbatrix.functions.text import tags_of
+
+    tags = lambda t: one(spark, tags_of(F.col("t"), CONCEPTS), t=t)
+    assert len(CONCEPTS) == 34
+    assert tags("The charges against the student were later dismissed, and we removed the name from the story.") == ["anonymize", "dismissed_charges", "remove"]
+    assert tags("The charges were not dismissed.") == [] and tags("Nothing here") == []
+    assert tags("We consider each request individually; de-indexing is at the discretion of the editor.") == ["case_by_case", "deindex", "discretion"]

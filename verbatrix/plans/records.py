@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from verbatrix.functions import pages as P
 from verbatrix.functions import text as X
 from verbatrix.functions import urls as U
+from verbatrix.functions.concepts import CONCEPTS
 from verbatrix.functions.stats import ratio
 from verbatrix.operators import frontier, html, matching, names, redaction, runs
 from verbatrix.operators import predicates as Q
 from verbatrix.operators.relational import overlapping_groups
 from verbatrix.operators.sizing import spread
-from verbatrix.operators.statements import ATTRIBUTIONS, attributed_voices, bounded_sentences, neighbours
+from verbatrix.operators.statements import ATTRIBUTIONS, attributed_voices, bounded_sentences, neighbours, tag_bridge
 from verbatrix.operators.versions import remaining, within_budget
 from verbatrix.plans.registry import query
 from verbatrix.plans.texts import _comparable, _hash_form, _nfkc
@@ -529,3 +530,19 @@ def distinct_groups_best_first(spark, d):
 @query("SELECT doc_id, regexp_replace(title, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g') AS title FROM documents")
 def safe_titles(spark, d):
     return safe_text(table(spark, d, "documents").select("doc_id", "title"))
+
+
+#: What other engines' patterns can say; the one left out looks ahead and is tested on a fixture.
+_TAGGED = {n: p for n, p in CONCEPTS.items() if n != "dismissed_charges"}
+
+
+@query("WITH t AS (SELECT id, coalesce(excerpt, '') AS x FROM evidence_items) " + " UNION ALL ".join(f"""SELECT id, '{n}' AS tag FROM t WHERE {_has('x', p.replace("'", "''"))}""" for n, p in _TAGGED.items()))
+def concept_tags(spark, d):
+    return tag_bridge(table(spark, d, "evidence_items"), "id", "excerpt", CONCEPTS).filter(F.col("tag") != "dismissed_charges")
+
+
+@query("WITH t AS (SELECT id, entity_id, coalesce(quote, '') AS x FROM voices) SELECT tag, count(*) AS n, count(DISTINCT entity_id) AS entities FROM (" + " UNION ALL ".join(f"""SELECT entity_id, '{n}' AS tag FROM t WHERE {_has('x', p.replace("'", "''"))}""" for n, p in _TAGGED.items()) + ") GROUP BY 1")
+def concept_tallies(spark, d):
+    rows = table(spark, d, "voices").select("id", "entity_id", "quote")
+    tags = tag_bridge(rows, "id", "quote", _TAGGED)
+    return tags.join(rows.select("id", "entity_id"), "id").groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("entity_id").alias("entities"))
