@@ -290,3 +290,13 @@ def test_concepts(spark):
     assert tags("The charges against the student were later dismissed, and we removed the name from the story.") == ["anonymize", "dismissed_charges", "remove"]
     assert tags("The charges were not dismissed.") == [] and tags("Nothing here") == []
     assert tags("We consider each request individually; de-indexing is at the discretion of the editor.") == ["case_by_case", "deindex", "discretion"]
+
+
+def test_entities_and_evidence_indexes(spark, tmp_path):
+    (tmp_path / "e.csv").write_text("Organization ,website\n".replace("Organization ", "organization") + "The Torch,www.torch.example/x\nTorch B,https://torch.example\nNew One,new.example\n,none.example\nNo Site,\n")
+    known = spark.createDataFrame([(7, "torch.example"), (8, "other.example")], "id int, domain string")
+    merged, other = imports.entities(spark, str(tmp_path / "e.csv"), known, "list")
+    assert rows(merged.select("domain", "id", "name", "added")) == [("new.example", None, "New One", True), ("torch.example", 7, "The Torch", False)] and other.count() == 2
+    (tmp_path / "i.csv").write_text("link,claim\nhttps://news.torch.example/a,keeps\nhttps://news.torch.example/a,keeps\nelse.example/b,x\n,y\n")
+    found, rest = imports.evidence_index(spark, str(tmp_path / "i.csv"), known)
+    assert rows(found) == [("https://news.torch.example/a", "keeps", "torch.example", 7)] and rows(rest) == [("https://else.example/b", "x")]

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verbatrix.functions.urls import host
+from verbatrix.operators.relational import longest_suffix_join
 from verbatrix.sources.readers import read_csv, sitemap_urls
 
 
@@ -149,3 +151,31 @@ def settings(text: str, known: Mapping[str, object]) -> dict[str, object]:
         kind = type(known[name])
         out[name] = value.lower() in ("1", "true", "yes") if kind is bool else kind(value)
     return out
+
+
+def entities(spark: SparkSession, path: str, known: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
+    """((domain, id, name, url, source, added) of a CSV of organisations, its rows without a name or host).
+
+    Headers may be name, organization or publication, and url, website or homepage. Rows merge by domain: one row a domain,
+    under the id that known (id, domain) has for it, or none yet (added); of several rows the first name in order counts.
+    """
+    df = read_csv(spark, path, ["name", "url"], {"name": ["organization", "organisation", "publication"], "url": ["website", "homepage"]})
+    rows = df.select(F.trim("name").alias("name"), with_scheme(F.col("url")).alias("url")).withColumn("domain", host(F.col("url")))
+    good = (F.length("name") > 0) & (F.length("domain") > 0)
+    one = rows.filter(good).groupBy("domain").agg(F.min(F.struct("name", "url")).alias("r"))
+    held = known.select(host(F.col("domain")).alias("domain"), "id").groupBy("domain").agg(F.min("id").alias("id"))
+    merged = one.join(held, "domain", "left").select("domain", "id", "r.name", "r.url", F.lit(source).alias("source"), F.col("id").isNull().alias("added"))
+    return merged, rows.filter(~F.coalesce(good, F.lit(False)))
+
+
+def evidence_index(spark: SparkSession, path: str, papers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((url, claim, site, id) of an index of evidence, its rows on no known site): the site is the paper's host that is the URL's or its nearest parent.
+
+    Headers may be url, link or source, and claim, summary or note. Rows without a URL are left out; a URL listed twice with
+    one claim counts once.
+    """
+    df = read_csv(spark, path, ["url", "claim"], {"url": ["link", "source"], "claim": ["summary", "note"]})
+    rows = df.select(with_scheme(F.col("url")).alias("url"), F.trim("claim").alias("claim")).filter("url IS NOT NULL").distinct().withColumn("h", host(F.col("url")))
+    sites = papers.select(host(F.col("domain")).alias("site"), "id").filter("site <> ''").groupBy("site").agg(F.min("id").alias("id"))
+    found = longest_suffix_join(rows, "h", sites, "site")
+    return found.select("url", "claim", "site", "id"), rows.join(found.select("url", "claim"), ["url", "claim"], "left_anti").select("url", "claim")
