@@ -247,18 +247,22 @@ def _scaled(rows: list[tuple[float, ...]]) -> np.ndarray:
 _ALL = [(*p[:3], shape) for p in PROFILES for shape in ([p[3]] if p[3] else [(97, 3, 0), (3, 97, 0)])]
 _CLASSES_OF = [p[0] for p in _ALL]
 _BY_KIND = tuple(_scaled([p[k] for p in _ALL]) for k in (1, 2, 3))
-#: Per language, the distributions over its function words, and all others last, that the profiles' shares of them give.
-_BY_FUNCTION = {x: np.array([function_shares(x, w) for w in _BY_KIND[1][:, 0]]) for x in RANKED}
+#: The profiles' different shares of function words, and which of them each has; per language the distributions over its
+#: function words, and all others last, that those shares give.
+_SHARES, _SHARE_OF = np.unique(_BY_KIND[1][:, 0], return_inverse=True)
+_BY_FUNCTION = {x: np.array([function_shares(x, w) for w in _SHARES]) for x in RANKED}
 _PROSE = np.array([x == "prose" for x in _CLASSES_OF])
 
 
+def _information(rows: np.ndarray) -> np.ndarray:
+    """Sum of x*log2(x) over the last axis; 0 for x = 0."""
+    return (rows * np.log2(np.maximum(rows, 1e-300))).sum(axis=-1)
+
+
 def divergences(shares: np.ndarray, profiles: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon divergences, in bits, of every row of shares from every row of profiles."""
-    p, q = shares[:, None, :], profiles[None, :, :]
-    m = (p + q) / 2
-    with np.errstate(divide="ignore", invalid="ignore"):
-        terms = np.where(p > 0, p * np.log2(p / m), 0.0) + np.where(q > 0, q * np.log2(q / m), 0.0)
-    return terms.sum(axis=2) / 2
+    """Jensen-Shannon divergences, in bits, of every row of shares from every row of profiles: the mean information less that of the mean."""
+    mean = (shares[:, None, :] + profiles[None, :, :]) / 2
+    return (_information(shares)[:, None] + _information(profiles)[None, :]) / 2 - _information(mean)
 
 
 class Shape:
@@ -291,7 +295,7 @@ def nearest(shapes: list[Shape]) -> list[tuple[str, float, float, float]]:
         by_function = np.empty_like(by_char)
         for language in {x.language for x in part}:
             at = [i for i, x in enumerate(part) if x.language == language]
-            by_function[at] = divergences(np.array([part[i].function for i in at]), _BY_FUNCTION[language])
+            by_function[at] = divergences(np.array([part[i].function for i in at]), _BY_FUNCTION[language])[:, _SHARE_OF]
         total = sum(w * d for w, d in zip(WEIGHTS, (by_char, by_word, by_line, by_function)))
         best = total.argmin(axis=1)
         prose = np.where(_PROSE, by_char, 9.0).argmin(axis=1)
